@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import unescape_entities
+from newsloom.functions.text import non_blank, unescape_entities
 
 COMMENT = "(?s)<!--.*?-->"
 IMG_TAG = r"""(?is)<img\b((?:[^>"']+|"[^"]*"|'[^']*')*+)>"""
@@ -30,7 +30,7 @@ def attribute(tag_body: Column, name: str) -> Column:
     """
     names = F.transform(F.regexp_extract_all(tag_body, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
     values = F.regexp_extract_all(tag_body, F.lit(ATTRIBUTE), F.lit(2))
-    value = F.try_element_at(values, F.nullif(F.array_position(names, F.lit(name)).cast("int"), F.lit(0)))
+    value = F.get(values, (F.array_position(names, F.lit(name)) - 1).cast("int"))
     return F.replace(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
 
 
@@ -53,7 +53,7 @@ def all_imgs(html: Column) -> Column:
 def page_title(html: Column) -> Column:
     raw = F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
     text = F.trim(unescape_entities(F.regexp_replace(raw, r"\s+", " ")))
-    return F.when(text != "", text)
+    return non_blank(text)
 
 
 def meta_content(html: Column, *names: str) -> Column:
@@ -66,7 +66,7 @@ def meta_content(html: Column, *names: str) -> Column:
             return F.coalesce(key == F.lit(name), F.lit(False))
 
         value = attribute(F.try_element_at(F.filter(tags, named), F.lit(1)), "content")
-        return F.when(value != "", value)
+        return non_blank(value)
 
     found = [content_of(name) for name in names]
     return unescape_entities(F.coalesce(*found))
@@ -105,5 +105,4 @@ def main_text(html: Column) -> Column:
         lambda m: (_word_count(m["text"]) >= MIN_BLOCK_WORDS)
         & (_word_count(m["links"]) < MAX_LINK_DENSITY * _word_count(m["text"])),
     )
-    text = F.array_join(F.transform(kept, lambda m: m["text"]), "\n")
-    return F.when(text != "", text)
+    return non_blank(F.array_join(F.transform(kept, lambda m: m["text"]), "\n"))

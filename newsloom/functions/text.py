@@ -50,6 +50,11 @@ def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def non_blank(text: Column) -> Column:
+    """As ``blank_to_null``, but a costly ``text`` expression is evaluated once, not twice."""
+    return F.get(F.filter(F.array(text), lambda t: t != ""), F.lit(0))
+
+
 def replace_first(text: Column, find: Column, repl: Column) -> Column:
     """Replace the first occurrence only; ``find`` is literal text and may vary by row."""
     at = F.position(find, text)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.session import numbered, pinned
+
 
 def _newest_first() -> list[Column]:
     return [F.desc("published_at"), F.asc("id")]
@@ -62,8 +64,6 @@ def pad_clustered(articles: DataFrame, target: int = 2000) -> DataFrame:
     The pad never exceeds ``target`` rows, so it is cut to a top-``target`` first and only those
     rows are numbered against the remaining room.
     """
-    from pyspark.sql import Window
-
     clustered = articles.where("cluster_id IS NOT NULL")
     room = F.greatest(F.lit(0), F.lit(target) - clustered.agg(F.count("*")).scalar())
     newest = articles.where("cluster_id IS NULL").orderBy(*_newest_first()).limit(target)
@@ -114,25 +114,27 @@ def one_per_url(articles: DataFrame) -> DataFrame:
 def append_articles(articles: DataFrame, path: str) -> DataFrame:
     """Append articles that are not stored yet, partitioned by day; returns the appended rows.
 
-    The rows are pinned before the write: they are derived by an anti join against the very table
-    that is about to change.
+    Rows without ids are numbered on from the highest stored id. They are pinned before the write,
+    being derived by an anti join against the very table that is about to change; running the same
+    batch again appends nothing.
     """
-    from newsloom.session import pinned
-
     spark = articles.sparkSession
     fresh = one_per_url(articles)
-    if _exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select("url"), "url", "left_anti")
+    last = 0
+    if path_exists(spark, path):
+        stored = spark.read.parquet(path)
+        fresh = fresh.join(stored.select("url"), "url", "left_anti")
+        last = stored.agg(F.max("id")).first()[0] or 0
+    if "id" not in fresh.columns:
+        fresh = numbered(pinned(fresh), [F.asc("published_at"), F.asc("url")], out="id", start=last + 1)
     fresh = pinned(fresh.withColumn("day", F.to_date("published_at")))
-    if fresh.isEmpty():
-        return fresh.drop("day")
-    fresh.write.mode("append").partitionBy("day").parquet(path)
+    if not fresh.isEmpty():
+        fresh.write.mode("append").partitionBy("day").parquet(path)
     return fresh.drop("day")
 
 
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
