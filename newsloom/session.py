@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for tables a check has to write."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so a lost executor replays from storage."""
     _ensure_checkpoint_dir(df.sparkSession)
