@@ -11,8 +11,9 @@ COMMENT = "(?s)<!--.*?-->"
 IMG_TAG = r"""(?is)<img\b((?:[^>"']+|"[^"]*"|'[^']*')*+)>"""
 ATTRIBUTE = r"""(?s)([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
-# Elements whose whole content is page furniture, never article text.
-FURNITURE = ("script", "style", "noscript", "nav", "header", "footer", "aside")
+# Elements whose whole content is never article text: code first, as it may quote any markup.
+CODE = ("script", "style", "noscript")
+FURNITURE = ("nav", "header", "footer", "aside", "title")
 BLOCK_TAGS = (
     "p|div|article|section|main|body|html|head|h1|h2|h3|h4|h5|h6|ul|ol|li|table|tr|td|th|"
     "blockquote|pre|figure|figcaption|br|hr|title"
@@ -85,13 +86,12 @@ def _word_count(text: Column) -> Column:
 def main_text(html: Column) -> Column:
     """Article text by shallow text features: keep blocks that are long and not mostly links.
 
-    Furniture elements go first, then the page is cut at block-level tags. A block stays when it
+    Code and furniture go first, then the page is cut at block-level tags. A block stays when it
     has at least ``MIN_BLOCK_WORDS`` words and less than ``MAX_LINK_DENSITY`` of them are link text.
     """
     body = _without_comments(html)
-    for tag in FURNITURE:
-        body = F.regexp_replace(body, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
-    body = F.regexp_replace(body, "(?is)<title\\b[^>]*>.*?</title>", " ")
+    for tags in (CODE, FURNITURE):
+        body = F.regexp_replace(body, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1>", " ")
     blocks = F.split(body, f"(?i)</?(?:{BLOCK_TAGS})\\b[^>]*>")
     measured = F.transform(
         blocks,

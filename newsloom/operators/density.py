@@ -214,17 +214,19 @@ def _forests(points: DataFrame, block_rows: int) -> DataFrame:
     return _block_pairs(points, block_rows).groupBy("run_key", "a", "b").applyInArrow(forest, EDGE)
 
 
+def _largest(edges: DataFrame) -> int:
+    """Edges of the run key that has most."""
+    return edges.groupBy("run_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def _by_run(edges: DataFrame, local: Callable, spread: Callable, schema: str, limit: int) -> DataFrame:
     """Finish run keys of at most ``limit`` edges in one task each, the others with joins."""
-    sizes = pinned(edges.groupBy("run_key").agg(F.count("*").alias("_n")))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    small = edges
-    if largest > limit:
-        small = edges.join(sizes.where(F.col("_n") <= limit), "run_key", "left_semi")
-    done = small.groupBy("run_key").applyInArrow(local, schema)
-    if largest <= limit:
-        return done
-    return done.unionByName(spread(edges.join(sizes.where(F.col("_n") > limit), "run_key", "left_semi")))
+    if _largest(edges) <= limit:
+        return edges.groupBy("run_key").applyInArrow(local, schema)
+    sizes = edges.groupBy("run_key").agg(F.count("*").alias("_n"))
+    small = edges.join(sizes.where(F.col("_n") <= limit), "run_key", "left_semi")
+    large = edges.join(sizes.where(F.col("_n") > limit), "run_key", "left_semi")
+    return small.groupBy("run_key").applyInArrow(local, schema).unionByName(spread(large))
 
 
 def _edge() -> Column:
@@ -287,15 +289,18 @@ def mutual_reachability_mst(
     points: DataFrame, k: int = 2, block_rows: int = BLOCK_ROWS, local_edges: int = LOCAL_EDGES
 ) -> DataFrame:
     """Edges (run_key, w, i, j), i < j, of the spanning tree of every run key."""
+    return _by_run(_all_forests(points, k, block_rows), _finish_tree, _spread_tree, EDGE, local_edges)
+
+
+def _all_forests(points: DataFrame, k: int, block_rows: int) -> DataFrame:
     points = _keyed(points)
     core = pinned(core_distance(points, k, block_rows))
-    forests = pinned(_forests(points.join(core, ["run_key", "id"]), block_rows))
+    return pinned(_forests(points.join(core, ["run_key", "id"]), block_rows))
 
-    def finish(table: pa.Table) -> pa.Table:
-        kept = kruskal(table["w"].to_numpy(), table["i"].to_numpy(), table["j"].to_numpy())
-        return table.select(["run_key", "w", "i", "j"]).take(pa.array(kept))
 
-    return _by_run(forests, finish, _spread_tree, EDGE, local_edges)
+def _finish_tree(table: pa.Table) -> pa.Table:
+    kept = kruskal(table["w"].to_numpy(), table["i"].to_numpy(), table["j"].to_numpy())
+    return table.select(["run_key", "w", "i", "j"]).take(pa.array(kept))
 
 
 # -- leaf clusters ---------------------------------------------------------------------------------
@@ -310,44 +315,11 @@ def mutual_reachability_mst(
 LEAF = "run_key string, id bigint, cluster bigint"
 
 
-def leaf_clusters(
-    tree: DataFrame, epsilon: float = 0.2, local_edges: int = LOCAL_EDGES
-) -> DataFrame:
+def leaf_clusters(tree: DataFrame, epsilon: float = 0.2, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(run_key, id, cluster) of the clustered points; ``cluster`` is its smallest member."""
 
     def local(table: pa.Table) -> pa.Table:
-        w, i, j = (table[c].to_numpy() for c in ("w", "i", "j"))
-        order = np.lexsort((j, i, w))
-        i, j, w = i[order], j[order], w[order]
-        names, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
-        a, b = flat[: len(w)], flat[len(w) :]
-        place = np.arange(len(w))
-        first = np.full(len(names), len(w))
-        np.minimum.at(first, a, place)
-        np.minimum.at(first, b, place)
-        seed = np.zeros(len(w), dtype=bool)
-        seed[first] = True
-        group = _components(len(names), a[seed], b[seed])
-        outer = np.nonzero(~seed)[0]
-        found, cluster = np.array([], int), np.array([], int)
-        if len(outer):
-            merge = outer[:-1][w[outer[:-1]] <= epsilon]
-            group = _components(len(names), np.concatenate([a[seed], a[merge]]), np.concatenate([b[seed], b[merge]]))
-            closing = np.full(len(names), len(w))
-            crossing = outer[group[a[outer]] != group[b[outer]]]
-            np.minimum.at(closing, group[a[crossing]], crossing)
-            np.minimum.at(closing, group[b[crossing]], crossing)
-            found = np.nonzero(first < closing[group])[0]
-            smallest = np.full(len(names), names[-1])
-            np.minimum.at(smallest, group[found], names[found])
-            cluster = smallest[group[found]]
-        return pa.table(
-            {
-                "run_key": pa.array([table["run_key"][0].as_py()] * len(found), pa.string()),
-                "id": pa.array(names[found], pa.int64()),
-                "cluster": pa.array(cluster, pa.int64()),
-            }
-        )
+        return _read_leaves(table, epsilon)
 
     def spread(edges: DataFrame) -> DataFrame:
         return _spread_leaves(edges, epsilon)
@@ -355,6 +327,42 @@ def leaf_clusters(
     return _by_run(tree, local, spread, LEAF, local_edges)
 
 
+def _read_leaves(table: pa.Table, epsilon: float) -> pa.Table:
+    """Leaves of one run key whose spanning tree fits a task."""
+    w, i, j = (table[c].to_numpy() for c in ("w", "i", "j"))
+    order = np.lexsort((j, i, w))
+    i, j, w = i[order], j[order], w[order]
+    names, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = flat[: len(w)], flat[len(w) :]
+    place = np.arange(len(w))
+    first = np.full(len(names), len(w))
+    np.minimum.at(first, a, place)
+    np.minimum.at(first, b, place)
+    seed = np.zeros(len(w), dtype=bool)
+    seed[first] = True
+    outer = np.nonzero(~seed)[0]
+    found, cluster = np.array([], int), np.array([], int)
+    if len(outer):
+        inner = seed.copy()
+        inner[outer[:-1][w[outer[:-1]] <= epsilon]] = True
+        group = _components(len(names), a[inner], b[inner])
+        closing = np.full(len(names), len(w))
+        crossing = outer[group[a[outer]] != group[b[outer]]]
+        np.minimum.at(closing, group[a[crossing]], crossing)
+        np.minimum.at(closing, group[b[crossing]], crossing)
+        found = np.nonzero(first < closing[group])[0]
+        smallest = np.full(len(names), names[-1])
+        np.minimum.at(smallest, group[found], names[found])
+        cluster = smallest[group[found]]
+    return pa.table(
+        {
+            "run_key": pa.array([table["run_key"][0].as_py()] * len(found), pa.string()),
+            "id": pa.array(names[found], pa.int64()),
+            "cluster": pa.array(cluster, pa.int64()),
+        }
+    )
+
+
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest vertex of each vertex's component."""
     parent = list(range(n))
@@ -416,8 +424,17 @@ def hdbscan(
     if method != "leaf" or min_cluster_size != 2:
         raise ValueError("only leaf selection with clusters of at least two points is supported")
     points = _keyed(points)
-    tree = pinned(mutual_reachability_mst(points, min_samples, block_rows, local_edges))
-    leaves = leaf_clusters(tree, epsilon, local_edges).withColumnRenamed("cluster", "label")
+    forests = _all_forests(points, min_samples, block_rows)
+
+    def finish(table: pa.Table) -> pa.Table:
+        return _read_leaves(_finish_tree(table), epsilon)
+
+    if _largest(forests) <= local_edges:
+        leaves = forests.groupBy("run_key").applyInArrow(finish, LEAF)
+    else:
+        tree = pinned(_by_run(forests, _finish_tree, _spread_tree, EDGE, local_edges))
+        leaves = leaf_clusters(tree, epsilon, local_edges)
+    leaves = leaves.withColumnRenamed("cluster", "label")
     noise = F.lit(-1).cast("bigint")
     return (
         points.select("run_key", "id")
@@ -429,5 +446,5 @@ def hdbscan(
 def cluster_articles(articles: DataFrame, epsilon: float = 0.2, **options) -> DataFrame:
     """One window of articles[id, published_at, embedding] → (id, published_at, label), where every
     article ends in exactly one cluster: noise becomes clusters of one, newest first."""
-    labels = pinned(hdbscan(articles.select("id", "embedding"), epsilon=epsilon, **options).drop("run_key"))
+    labels = hdbscan(articles.select("id", "embedding"), epsilon=epsilon, **options).drop("run_key")
     return assign_singletons(pinned(articles.select("id", "published_at").join(labels, "id")))

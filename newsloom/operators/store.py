@@ -114,22 +114,24 @@ def one_per_url(articles: DataFrame) -> DataFrame:
 def append_articles(articles: DataFrame, path: str) -> DataFrame:
     """Append articles that are not stored yet, partitioned by day; returns the appended rows.
 
-    Rows without ids are numbered on from the highest stored id. They are pinned before the write,
-    being derived by an anti join against the very table that is about to change; running the same
-    batch again appends nothing.
+    Rows without ids are numbered on from the highest stored id. The rows are pinned before the
+    write, being derived by an anti join against the very table that is about to change; running the
+    same batch again appends nothing.
     """
     spark = articles.sparkSession
-    fresh = one_per_url(articles)
-    last = 0
+    fresh, last = one_per_url(articles), 0
     if path_exists(spark, path):
         stored = spark.read.parquet(path)
         fresh = fresh.join(stored.select("url"), "url", "left_anti")
         last = stored.agg(F.max("id")).first()[0] or 0
-    if "id" not in fresh.columns:
-        fresh = numbered(pinned(fresh), [F.asc("published_at"), F.asc("url")], out="id", start=last + 1)
     fresh = pinned(fresh.withColumn("day", F.to_date("published_at")))
-    if not fresh.isEmpty():
-        fresh.write.mode("append").partitionBy("day").parquet(path)
+    if fresh.isEmpty():
+        return fresh.drop("day")
+    if "id" not in fresh.columns:
+        order = [F.asc("published_at"), F.asc("url")]
+        ids = numbered(fresh.select("published_at", "url"), order, out="id", start=last + 1)
+        fresh = fresh.join(ids.select("url", "id"), "url")
+    fresh.write.mode("append").partitionBy("day").parquet(path)
     return fresh.drop("day")
 
 

@@ -10,7 +10,7 @@ from newsloom.operators import articles as A
 from newsloom.operators import store
 from newsloom.plans.registry import as_text, check, text_sql
 from newsloom.sources import catalog
-from newsloom.functions.markup import BLOCK_TAGS, FURNITURE, page_title as title_of
+from newsloom.functions.markup import BLOCK_TAGS, CODE, FURNITURE, page_title as title_of
 
 PUBLISHED = text_sql("published_at")
 
@@ -36,7 +36,7 @@ def _words_sql(x: str) -> str:
 
 def _body_sql() -> str:
     body = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
-    for tag in (*FURNITURE, "title"):
+    for tag in (*CODE, *FURNITURE):
         body = f"regexp_replace({body}, '(?i)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'gs')"
     return body
 
@@ -229,11 +229,11 @@ def latest_articles(v):
     return store.latest(v.articles().select("id", "title", "published_at"), 100).withColumn("published_at", as_text("published_at"))
 
 
-@check("articles_since", "articles clock", f"""
-SELECT id, title, {PUBLISHED} AS published_at FROM articles JOIN embeddings ON vec_id = id, clock
-WHERE published_at > now - INTERVAL 9 DAY ORDER BY articles.published_at DESC, id LIMIT 60""")
+@check("articles_since", "articles stories story_clock", f"""
+SELECT id, title, {PUBLISHED} AS published_at FROM articles JOIN embeddings ON vec_id = id, story_clock
+WHERE published_at > now - INTERVAL 36 HOUR ORDER BY articles.published_at DESC, id LIMIT 60""")
 def articles_since(v):
-    out = store.articles_since(v.articles_with_vectors(), v.now() - F.lit(timedelta(days=9)), 60)
+    out = store.articles_since(v.articles_with_vectors(), v.story_now() - F.lit(timedelta(hours=36)), 60)
     return out.select("id", "title", as_text("published_at").alias("published_at"))
 
 

@@ -86,11 +86,11 @@ def cluster_newest(v):
     return C.cluster_newest(v.members()).select("cluster_id", as_text("newest").alias("newest"))
 
 
-@check("drop_stale_clusters", "articles clock stories", """
+@check("drop_stale_clusters", "articles stories story_clock", """
 SELECT cluster_id, id AS article_id FROM stories WHERE cluster_id IN
- (SELECT cluster_id FROM stories, clock GROUP BY cluster_id, now HAVING max(published_at) > now - INTERVAL 9 DAY)""")
+ (SELECT cluster_id FROM stories, story_clock GROUP BY cluster_id, now HAVING max(published_at) > now - INTERVAL 36 HOUR)""")
 def drop_stale_clusters(v):
-    return C.drop_stale_clusters(v.members(), v.now(), timedelta(days=9)).select("cluster_id", "article_id")
+    return C.drop_stale_clusters(v.members(), v.story_now(), timedelta(hours=36)).select("cluster_id", "article_id")
 
 
 @check("high_water_mark", "articles clock stories", f"""

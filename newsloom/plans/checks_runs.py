@@ -23,7 +23,7 @@ KEEP = timedelta(days=9)
 
 def previous_run(v):
     """Membership of an earlier run: the stories up to two days before the newest article."""
-    early = v.members().where(F.col("published_at") <= v.now() - F.lit(timedelta(days=2)))
+    early = v.members().where(F.col("published_at") <= v.story_now() - F.lit(timedelta(days=2)))
     keys = early.select("cluster_id").distinct()
     numbers = keys.withColumn("no", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("cluster_id")).cast("bigint"))
     return early.join(numbers, "cluster_id").select(F.col("no").alias("cluster_id"), "article_id"), numbers.select(
@@ -32,7 +32,7 @@ def previous_run(v):
 
 
 EARLY_SQL = """
-, early AS (SELECT cluster_id, id, published_at, now FROM stories, clock WHERE published_at <= now - INTERVAL 2 DAY),
+, early AS (SELECT cluster_id, id, published_at, now FROM stories, story_clock WHERE published_at <= now - INTERVAL 2 DAY),
 kept AS (SELECT * FROM early WHERE cluster_id IN
          (SELECT cluster_id FROM early GROUP BY cluster_id, now HAVING max(published_at) > now - INTERVAL 9 DAY)),
 fresh AS (SELECT id, published_at FROM stories WHERE published_at > (SELECT max(published_at) FROM kept)
@@ -40,7 +40,7 @@ fresh AS (SELECT id, published_at FROM stories WHERE published_at > (SELECT max(
 """
 
 
-@check("window_articles", "articles clock stories", EARLY_SQL + """
+@check("window_articles", "articles stories story_clock", EARLY_SQL + """
 SELECT id FROM (SELECT id, published_at, 0 AS src FROM kept UNION ALL SELECT id, published_at, 1 FROM fresh)
 ORDER BY published_at DESC, src, id LIMIT 6000""")
 def window_articles(v):
@@ -49,30 +49,30 @@ def window_articles(v):
     previous, _ = previous_run(v)
     articles = v.articles_with_vectors()
     times = articles.select(F.col("id").alias("article_id"), "published_at")
-    kept = drop_stale_clusters(previous.join(times, "article_id"), v.now(), KEEP)
-    return runs.window_articles(kept, articles, v.now(), KEEP).select("id")
+    kept = drop_stale_clusters(previous.join(times, "article_id"), v.story_now(), KEEP)
+    return runs.window_articles(kept, articles, v.story_now(), KEEP).select("id")
 
 
-@check("evolve_run", "articles clock stories", EARLY_SQL + """
+@check("evolve_run", "articles stories story_clock", EARLY_SQL + """
 SELECT id AS article_id FROM kept UNION ALL SELECT id FROM fresh""")
 def evolve_run(v):
     """A whole next run; SQL states that every window article is in it exactly once."""
     previous, titles = previous_run(v)
-    draft = runs.draft_run(previous, titles, v.articles_with_vectors(), v.now(), KEEP, epsilon=1.1)
-    return runs.finish_run(draft, None, 2, 1, v.now()).memberships.select("article_id")
+    draft = runs.draft_run(previous, titles, v.articles_with_vectors(), v.story_now(), KEEP, epsilon=1.1)
+    return runs.finish_run(draft, None, 2, 1, v.story_now()).memberships.select("article_id")
 
 
 @check("bootstrap_run")
 def bootstrap_run(v):
     """First run over the newest articles: clusters with their titles and slugs."""
-    tables = runs.bootstrap_run(v.articles_with_vectors(), 1, 1, v.now(), epsilon=1.1)
+    tables = runs.bootstrap_run(v.articles_with_vectors(), 1, 1, v.story_now(), epsilon=1.1)
     return tables.clusters.select("id", "title", "slug", "run_id")
 
 
 @check("backfill_run", "articles legacy_clusters", """
 SELECT c.title, c.slug, count(*) AS members FROM legacy_clusters c JOIN articles a ON a.cluster_id = c.id GROUP BY 1, 2""")
 def backfill_run(v):
-    tables = runs.backfill_run(v.legacy_clusters(), v.articles(), 7, v.now())
+    tables = runs.backfill_run(v.legacy_clusters(), v.articles(), 7, v.story_now())
     return (
         tables.memberships.join(tables.clusters.select(F.col("id").alias("cluster_id"), "title", "slug"), "cluster_id")
         .groupBy("title", "slug")
@@ -87,7 +87,7 @@ SELECT 'memberships', count(cluster_id) FROM articles""")
 def write_cluster_run(v):
     """A run written, written again, and read back."""
     path = scratch_path(v.spark, "runs")
-    tables = runs.backfill_run(v.legacy_clusters(), v.articles(), 7, v.now())
+    tables = runs.backfill_run(v.legacy_clusters(), v.articles(), 7, v.story_now())
     runs.write_cluster_run(tables, path)
     runs.write_cluster_run(tables, path)
     stored = runs.read_runs(v.spark, path)

@@ -79,6 +79,10 @@ class DriverViews:
         """Newest published time of the scale in use, as a scalar subquery."""
         return self.articles().agg(F.max("published_at")).scalar()
 
+    def story_now(self) -> Column:
+        """Newest published time among the articles that have a vector."""
+        return self.stories().agg(F.max("published_at")).scalar()
+
     def entries(self) -> DataFrame:
         """Documents that link to pages; links repeat on purpose."""
         pages = self.table("pages").select("page_id", "url")
@@ -189,6 +193,7 @@ SQL_VIEWS = {
     "stories": """
         SELECT * REPLACE (CAST(cluster_id AS VARCHAR) || '/' || strftime(published_at, '%Y-%m-%d') AS cluster_id)
         FROM articles WHERE cluster_id IS NOT NULL""",
+    "story_clock": "SELECT max(published_at) AS now FROM stories",
     "legacy_clusters": """
         SELECT CAST(label AS BIGINT) AS id, 'Story ' || label AS title, 'story-' || label AS slug
         FROM (SELECT DISTINCT label FROM embeddings)

@@ -12,6 +12,7 @@ from newsloom.operators import entries as E
 from newsloom.operators import store
 from newsloom.operators.images import feed_images
 from newsloom.plans import runs
+from newsloom.session import pinned
 from newsloom.sources.feeds import parse_feeds, quarantined_feeds, quarantined_items
 
 
@@ -64,7 +65,10 @@ def tick(raw: DataFrame, inputs: Inputs, path: str, now: E.Clock | None = None)
     """Ingest one batch of feeds into ``path``/articles; returns the articles it added."""
     spark, target = raw.sparkSession, f"{path}/articles"
     stored = spark.read.parquet(target).select("url") if store.path_exists(spark, target) else None
-    return store.append_articles(build_articles(fresh_entries(raw, inputs, stored, now), inputs), target)
+    # Pinned: the new entries feed both the page join and the assembly, and must be read before the
+    # store changes.
+    entries = pinned(fresh_entries(raw, inputs, stored, now))
+    return store.append_articles(build_articles(entries, inputs), target)
 
 
 def cluster_tick(spark, path: str, now: E.Clock, generated=None, **options) -> runs.RunTables | None:
