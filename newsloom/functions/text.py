@@ -31,13 +31,14 @@ def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
 def fold_to_ascii(text: Column) -> Column:
     """Compatibility-decompose, then delete whatever is still not ASCII."""
     single, several = _ascii_folds()
+    text = F.translate(text, "".join(single), "".join(single.values()))
     # One literal that folds to a constant array; hundreds of column nodes would slow the planner.
     listed = json.dumps([{"c": k, "f": v} for k, v in several.items()])
     pairs = F.from_json(F.lit(listed), "array<struct<c: string, f: string>>")
     spelled_out = F.reduce(pairs, text, lambda acc, p: F.replace(acc, p["c"], p["f"]))
-    text = F.when(text.rlike("[" + "".join(several) + "]"), spelled_out).otherwise(text)
-    text = F.translate(text, "".join(single), "".join(single.values()))
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    # Few texts still hold a non-ASCII character here; only those pay for the longer test.
+    odd = text.rlike(r"[^\x00-\x7F]") & text.rlike("[" + "".join(several) + "]")
+    return F.regexp_replace(F.when(odd, spelled_out).otherwise(text), r"[^\x00-\x7F]", "")
 
 
 def slugify(text: Column) -> Column:

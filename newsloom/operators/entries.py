@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.links import normalize_link
+from newsloom.session import local_table
 from newsloom.sources.catalog import DEFAULT_WINDOW
 
 Clock = datetime | Column
@@ -91,7 +92,7 @@ def select_providers(providers: DataFrame, keys: Sequence[str] | None = None) ->
     """All providers, or the named ones; an unknown key is an error when the result is read."""
     if not keys:
         return providers
-    wanted = providers.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string")
+    wanted = local_table(providers.sparkSession, [(k,) for k in dict.fromkeys(keys)], "key string")
     known = providers.withColumn("_known", F.lit(True))
     return (
         wanted.join(known, "key", "left")

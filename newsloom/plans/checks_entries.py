@@ -11,7 +11,7 @@ from newsloom.operators import entries as E
 from newsloom.operators import images, store
 from newsloom.plans.driver_views import DriverViews
 from newsloom.plans.registry import as_text, check, text_sql
-from newsloom.sources import feeds, tables
+from newsloom.sources import catalog, feeds, tables
 
 ITEMS_PER_FEED = 50
 
@@ -125,7 +125,7 @@ SELECT news_provider_key AS provider_key, feed_link AS link,
     ELSE CASE WHEN id % 3 = 0 THEN img END END, '') AS images
 FROM items""")
 def feed_images(v):
-    rules = v.spark.createDataFrame(IMAGE_RULES, "provider_key string, source string, selector string, find string, repl string, first_only boolean, prefix string, order int")
+    rules = catalog.image_rules(v.spark, IMAGE_RULES)
     items = images.feed_images(feeds.parse_feeds(raw_feeds(v)), rules)
     return items.select("provider_key", "link", F.array_join("image_urls", " ").alias("images"))
 
@@ -142,7 +142,7 @@ WHERE published_at > now - window_days * INTERVAL 1 DAY
   AND NOT (provider_key = 'src7' AND starts_with(feed_title, 'T'))
   AND link NOT IN (SELECT url FROM articles WHERE id % 4 = 0)""")
 def process_entries(v):
-    rules = v.spark.createDataFrame([("src7", "title", "T")], "provider_key string, field string, prefix string")
+    rules = catalog.exclusion_rules(v.spark, [("src7", "title", "T")])
     stored = v.articles().where("id % 4 = 0")
     out = E.process_entries(feeds.parse_feeds(raw_feeds(v)), v.providers(), rules, stored, v.now())
     return out.select("provider_key", "link", as_text("published_at").alias("published_at"))
@@ -257,7 +257,7 @@ def page_images(v):
         ("kind2", "page", "img.thumb@srcset:first", None, None, False, None, 1),
         ("kind3", "page", "figure.lead >> img@src", None, None, False, None, 1),
     ]
-    frame = v.spark.createDataFrame(rules, "provider_key string, source string, selector string, find string, repl string, first_only boolean, prefix string, order int")
+    frame = catalog.image_rules(v.spark, rules)
     return images.page_images(pages, frame).select("url", F.array_join("image_urls", " ").alias("images"))
 
 
@@ -284,10 +284,7 @@ SELECT id, link FROM entries
 WHERE NOT ((provider_key = 'src1' AND (starts_with(title, 'T') OR starts_with(title, 'A')))
         OR (provider_key = 'src2' AND starts_with(link, 'https://')))""")
 def exclude_entries(v):
-    rules = v.spark.createDataFrame(
-        [("src1", "title", "T"), ("src1", "title", "A"), ("src2", "link", "https://")],
-        "provider_key string, field string, prefix string",
-    )
+    rules = catalog.exclusion_rules(v.spark, [("src1", "title", "T"), ("src1", "title", "A"), ("src2", "link", "https://")])
     return E.exclude(v.entries(), rules).select("id", "link")
 
 

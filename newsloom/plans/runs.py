@@ -12,7 +12,7 @@ from newsloom import schemas
 from newsloom.operators import clusters as C
 from newsloom.operators import store
 from newsloom.operators.density import cluster_articles
-from newsloom.session import pinned
+from newsloom.session import local_table, pinned
 
 # Version tag and window limits of a run.
 ALGO_VERSION = "hdbscan-1.0.0"
@@ -89,7 +89,7 @@ def finish_run(draft: RunDraft, generated: DataFrame | None, run_id: int, first_
     """Run header, clusters and memberships; generated[label, title] may miss any label."""
     spark = draft.members.sparkSession
     if generated is None:
-        generated = spark.createDataFrame([], "label bigint, title string")
+        generated = local_table(spark, [], "label bigint, title string")
     new = C.resolve_titles(draft.pending, generated, key="label")
     titled = C.cluster_index(C.reused_then_new(draft.reused.select("label", "title"), new))
     return _tables(spark, titled, draft.members, run_id, first_cluster_id, now)

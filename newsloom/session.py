@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,15 +47,20 @@ def pinned(df: DataFrame) -> DataFrame:
 def as_dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
     """Turn a lookup table into local rows when it is proven small, else return it unchanged.
 
-    At most ``max_rows + 1`` rows reach the driver. A local relation has a known size, so the
-    planner broadcasts it without a hint; a bigger table keeps its ordinary shuffle join.
+    At most ``max_rows + 1`` rows reach the driver, as Arrow: that makes a local relation whose size
+    the planner knows, so it is broadcast without a hint. A bigger table keeps its shuffle join.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """Literal rows as a local relation."""
+    return as_dimension(spark.createDataFrame(list(rows), schema))
+
+
 def numbered(
     df: DataFrame,
     order: Sequence[Column],

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import schemas
+from newsloom.session import as_dimension, local_table
 
 RFC822_OFFSET = "%a, %d %b %Y %H:%M:%S %z"
 RFC822_ZONE_NAME = "%a, %d %b %Y %H:%M:%S %Z"
@@ -134,22 +135,19 @@ IMAGE_RULES = [
 def provider_catalog(spark: SparkSession, rows: Iterable[Sequence] | None = None) -> DataFrame:
     """Catalogue table; default rows are the fixed outlets with ranks, windows and date formats."""
     if rows is not None:
-        return spark.createDataFrame(list(rows), schemas.PROVIDER)
-    base = spark.createDataFrame(
-        [
-            (key, name, url, None, bias, WINDOWS.get(key), DATE_FORMATS.get(key, RFC822_OFFSET), feeds)
-            for key, name, url, feeds, bias in OUTLETS
-        ],
-        schemas.PROVIDER,
-    )
-    return assign_ranks(base, RANKS)
+        return local_table(spark, rows, schemas.PROVIDER)
+    base = [
+        (key, name, url, None, bias, WINDOWS.get(key), DATE_FORMATS.get(key, RFC822_OFFSET), feeds)
+        for key, name, url, feeds, bias in OUTLETS
+    ]
+    return as_dimension(assign_ranks(local_table(spark, base, schemas.PROVIDER), RANKS))
 
 
 def assign_ranks(providers: DataFrame, rank_lists: Mapping[int, Sequence[str]]) -> DataFrame:
     """Attach ranks by key; a key ranked twice, or a provider without a rank, is an error."""
     pairs = [(key, rank) for rank, keys in rank_lists.items() for key in keys]
     ranked = (
-        providers.sparkSession.createDataFrame(pairs, "key string, _rank int")
+        local_table(providers.sparkSession, pairs, "key string, _rank int")
         .groupBy("key")
         .agg(F.max("_rank").alias("_rank"), F.count("*").alias("_times"))
     )
@@ -166,12 +164,12 @@ def assign_ranks(providers: DataFrame, rank_lists: Mapping[int, Sequence[str]])
 
 
 def exclusion_rules(spark: SparkSession, rows: Iterable[Sequence] | None = None) -> DataFrame:
-    return spark.createDataFrame(list(EXCLUSIONS if rows is None else rows), schemas.EXCLUSION_RULE)
+    return local_table(spark, EXCLUSIONS if rows is None else rows, schemas.EXCLUSION_RULE)
 
 
 def image_rules(spark: SparkSession, rows: Iterable[Sequence] | None = None) -> DataFrame:
-    return spark.createDataFrame(list(IMAGE_RULES if rows is None else rows), schemas.IMAGE_RULE)
+    return local_table(spark, IMAGE_RULES if rows is None else rows, schemas.IMAGE_RULE)
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATEGORIES, "key string, name string")
+    return local_table(spark, CATEGORIES, "key string, name string")
