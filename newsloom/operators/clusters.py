@@ -60,10 +60,12 @@ def member_pages(members: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     )
 
 
-def load_run(run_id: Column | int, clusters: DataFrame, memberships: DataFrame, articles: DataFrame) -> DataFrame:
+def load_run(
+    run_id: Column | int, clusters: DataFrame, memberships: DataFrame, articles: DataFrame, page_size: int = PAGE_SIZE
+) -> DataFrame:
     """Nested run: one row per (cluster, page); clusters without articles have an empty page 0."""
     rows = run_members(run_id, clusters, memberships, articles)
-    pages = member_pages(rows.where("article_id IS NOT NULL"))
+    pages = member_pages(rows.where("article_id IS NOT NULL"), page_size)
     heads = clusters.where(F.col("run_id") == (run_id if isinstance(run_id, Column) else F.lit(run_id)))
     heads = heads.select(F.col("id").alias("cluster_id"), F.col("title").alias("cluster_title"), "slug")
     return heads.join(pages, "cluster_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))

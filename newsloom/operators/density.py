@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.clusters import assign_singletons
-from newsloom.session import pinned
+from newsloom.session import as_dimension, pinned
 
 BLOCK_ROWS = 1024
 LOCAL_EDGES = 500_000
@@ -136,6 +136,8 @@ def _keyed(points: DataFrame) -> DataFrame:
 def _block_pairs(points: DataFrame, block_rows: int) -> DataFrame:
     """Every point once per block pair its block takes part in; a pair has about 2 x block_rows."""
     blocks = points.groupBy("run_key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    # Local when there are few run keys, so that the vectors are not shuffled just to be counted.
+    blocks = as_dimension(blocks)
     placed = points.join(blocks, "run_key").withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     return (

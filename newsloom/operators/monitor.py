@@ -46,8 +46,11 @@ def evaluation_grid(log: DataFrame, every: int = MINUTE) -> DataFrame:
         _grid_point(F.max("ts"), every).alias("_hi"),
     )
     lo, hi = bounds.select("_lo").scalar(), bounds.select("_hi").scalar()
-    services = log.select("service").distinct()
-    return services.select("service", F.explode(F.sequence(lo, hi, F.lit(every))).alias("tick"))
+    # Day by day, so that no row holds the whole grid.
+    span = every * max(1, 86_400 // every)
+    days = log.select("service").distinct().select("service", F.explode(F.sequence(lo, hi, F.lit(span))).alias("_day"))
+    ticks = F.sequence(F.col("_day"), F.least(F.col("_day") + (span - every), hi), F.lit(every))
+    return days.select("service", F.explode(ticks).alias("tick"))
 
 
 def breaches(

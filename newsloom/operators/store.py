@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import numbered, pinned
+from newsloom.session import as_dimension, numbered, pinned
 
 
 def _newest_first() -> list[Column]:
@@ -114,27 +114,48 @@ def one_per_url(articles: DataFrame) -> DataFrame:
 def append_articles(articles: DataFrame, path: str) -> DataFrame:
     """Append articles that are not stored yet, partitioned by day; returns the appended rows.
 
-    Rows without ids are numbered on from the highest stored id. The rows are pinned before the
-    write, being derived by an anti join against the very table that is about to change; running the
-    same batch again appends nothing.
+    Rows without ids get the next free ones. The rows are pinned before the write, being derived by
+    an anti join against the very table that is about to change; running the same batch again
+    appends nothing.
     """
     spark = articles.sparkSession
-    fresh, last = one_per_url(articles), 0
+    fresh = one_per_url(articles)
     if path_exists(spark, path):
-        stored = spark.read.parquet(path)
-        fresh = fresh.join(stored.select("url"), "url", "left_anti")
-        last = stored.agg(F.max("id")).first()[0] or 0
+        known = known_urls(fresh.select("url"), spark.read.parquet(path))
+        fresh = fresh.join(known, "url", "left_anti")
     fresh = pinned(fresh.withColumn("day", F.to_date("published_at")))
-    if fresh.isEmpty():
+    added = fresh.count()
+    if not added:
         return fresh.drop("day")
     if "id" not in fresh.columns:
         order = [F.asc("published_at"), F.asc("url")]
-        ids = numbered(fresh.select("published_at", "url"), order, out="id", start=last + 1)
+        first = _reserve_ids(spark, path, added)
+        ids = numbered(fresh.select("published_at", "url"), order, out="id", start=first)
         fresh = fresh.join(ids.select("url", "id"), "url")
     fresh.write.mode("append").partitionBy("day").parquet(path)
     return fresh.drop("day")
 
 
+def known_urls(urls: DataFrame, articles: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Those of ``urls`` that are stored. A batch of proven small size is sent to the store's scan,
+    so the store is read once and not shuffled; a larger batch meets it in a shuffle join."""
+    batch = as_dimension(urls.distinct(), max_rows)
+    return articles.select("url").join(batch, "url", "left_semi").distinct()
+
+
+def _reserve_ids(spark: SparkSession, path: str, count: int) -> int:
+    """First of ``count`` ids that no earlier batch was given. The range is booked next to the table
+    before the rows are written, so a failed write leaves a gap and never a repeat."""
+    book = f"{path.rstrip('/')}_ids"
+    last = 0
+    if path_exists(spark, book):
+        last = spark.read.parquet(book).agg(F.max("last")).first()[0]
+    elif path_exists(spark, path):
+        last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
+    spark.range(1).select(F.lit(last + count).cast("bigint").alias("last")).write.mode("append").parquet(book)
+    return last + 1
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

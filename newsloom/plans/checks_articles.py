@@ -173,7 +173,7 @@ def merge_images(v):
 
 @check("top_categories", "articles", "SELECT id, array_to_string(categories[1:2], ' ') AS top FROM articles")
 def top_categories(v):
-    return v.articles().select("id", F.array_join(A.top_categories(F.col("categories"), 2), " ").alias("top"))
+    return v.articles(categories=True).select("id", F.array_join(A.top_categories(F.col("categories"), 2), " ").alias("top"))
 
 
 @check("article_title", "articles", """
@@ -257,7 +257,7 @@ def chain(v):
 
 @check("clustered_count", "articles", "SELECT count(cluster_id) AS clustered FROM articles")
 def clustered_count(v):
-    return store.clustered_count(v.articles())
+    return store.clustered_count(v.articles(clusters=True))
 
 
 @check("pad_clustered", "articles", """
@@ -266,14 +266,14 @@ UNION ALL
 SELECT id FROM (SELECT id, row_number() OVER (ORDER BY published_at DESC, id) AS place FROM articles WHERE cluster_id IS NULL)
 WHERE place <= greatest(0, 600 - (SELECT count(cluster_id) FROM articles))""")
 def pad_clustered(v):
-    return store.pad_clustered(v.articles().select("id", "cluster_id", "published_at"), 600).select("id")
+    return store.pad_clustered(v.articles(clusters=True).select("id", "cluster_id", "published_at"), 600).select("id")
 
 
 @check("category_feed", "articles", f"""
 SELECT id, {PUBLISHED} AS published_at FROM articles WHERE list_contains(categories, 'en')
 ORDER BY articles.published_at DESC, id LIMIT 50""")
 def category_feed(v):
-    a = v.articles().select("id", "published_at", "categories")
+    a = v.articles(categories=True).select("id", "published_at", "categories")
     return store.category_feed(a, "en").select("id", as_text("published_at").alias("published_at"))
 
 
@@ -360,7 +360,7 @@ def cascade_delete(v):
 SELECT id, CASE WHEN cluster_id % 2 = 1 THEN cluster_id END AS cluster_id FROM articles""")
 def set_null_on_delete(v):
     gone = v.legacy_clusters().where("id % 2 = 0")
-    return store.set_null_on_delete(v.articles().select("id", "cluster_id"), "cluster_id", gone, "id")
+    return store.set_null_on_delete(v.articles(clusters=True).select("id", "cluster_id"), "cluster_id", gone, "id")
 
 
 @check("multiple_assignments", "", """

@@ -55,13 +55,9 @@ SELECT h.cluster_id, cluster_title, coalesce(pos // 20, 0) AS page,
 FROM heads h LEFT JOIN placed p ON p.cluster_id = h.cluster_id GROUP BY 1, 2, 3""")
 def load_run(v):
     heads, links = run_tables(v)
-    rows = C.run_members(1, heads, links, v.articles())
-    pages = C.member_pages(rows.where("article_id IS NOT NULL"), page_size=20)
+    pages = C.load_run(1, heads, links, v.articles(), page_size=20)
     ids = F.array_join(F.transform("articles", lambda a: a["article_id"].cast("string")), " ")
-    named = heads.select(F.col("id").alias("cluster_id"), F.col("title").alias("cluster_title"))
-    return named.join(pages, "cluster_id", "left").select(
-        "cluster_id", "cluster_title", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce(ids, F.lit("")).alias("ids")
-    )
+    return pages.select("cluster_id", "cluster_title", "page", F.coalesce(ids, F.lit("")).alias("ids"))
 
 
 @check("latest_run", "", """
@@ -78,7 +74,7 @@ def latest_run(v):
 @check("nonempty_clusters", "articles legacy_clusters", """
 SELECT id, title FROM legacy_clusters c WHERE EXISTS (SELECT 1 FROM articles a WHERE a.cluster_id = c.id)""")
 def nonempty_clusters(v):
-    return C.nonempty_clusters(v.legacy_clusters(), v.articles()).select("id", "title")
+    return C.nonempty_clusters(v.legacy_clusters(), v.articles(clusters=True)).select("id", "title")
 
 
 @check("cluster_newest", "articles stories", f"SELECT cluster_id, {text_sql('max(published_at)')} AS newest FROM stories GROUP BY 1")
@@ -131,7 +127,7 @@ def carry_titles(v):
 
 def labelled(v):
     """Story labels as numbers, every third article as noise."""
-    return v.articles().where("cluster_id IS NOT NULL").select(
+    return v.articles(clusters=True).where("cluster_id IS NOT NULL").select(
         "id", "published_at", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("cluster_id")).cast("bigint").alias("label")
     )
 
@@ -254,7 +250,7 @@ def providers_ranked(v):
 @check("cluster_with_articles", "articles legacy_clusters", """
 SELECT c.id AS cluster_id, c.title AS cluster_title, a.id FROM legacy_clusters c JOIN articles a ON a.cluster_id = c.id""")
 def cluster_with_articles(v):
-    return R.cluster_with_articles(v.legacy_clusters(), v.articles()).select("cluster_id", "cluster_title", "id")
+    return R.cluster_with_articles(v.legacy_clusters(), v.articles(clusters=True)).select("cluster_id", "cluster_title", "id")
 
 
 @check("avg_published", "articles stories", """

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.store import append_articles
@@ -13,7 +12,7 @@ from newsloom.plans.checks_articles import PUBLISHED
 from newsloom.plans.checks_clusters import PATTERN
 from newsloom.plans.checks_entries import FEED_ITEMS_SQL, raw_feeds
 from newsloom.plans.registry import as_text, check, text_sql
-from newsloom.session import scratch_path
+from newsloom.session import numbered, scratch_path
 from newsloom.sources.catalog import exclusion_rules, image_rules
 from newsloom.streaming import alerts
 from newsloom.streaming.ingest import entry_stream, feed_stream, run_ingest
@@ -24,11 +23,10 @@ KEEP = timedelta(days=9)
 def previous_run(v):
     """Membership of an earlier run: the stories up to two days before the newest article."""
     early = v.members().where(F.col("published_at") <= v.story_now() - F.lit(timedelta(days=2)))
-    keys = early.select("cluster_id").distinct()
-    numbers = keys.withColumn("no", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("cluster_id")).cast("bigint"))
-    return early.join(numbers, "cluster_id").select(F.col("no").alias("cluster_id"), "article_id"), numbers.select(
-        F.col("no").alias("id"), F.concat(F.lit("Title of "), "cluster_id").alias("title")
-    )
+    numbers = numbered(early.select("cluster_id").distinct(), [F.asc("cluster_id")], out="no", start=1)
+    titles = numbers.select(F.col("no").alias("id"), F.concat(F.lit("Title of "), "cluster_id").alias("title"))
+    members = early.join(numbers, "cluster_id").select(F.col("no").alias("cluster_id"), "article_id", "published_at")
+    return members, titles
 
 
 EARLY_SQL = """
@@ -47,10 +45,8 @@ def window_articles(v):
     from newsloom.operators.clusters import drop_stale_clusters
 
     previous, _ = previous_run(v)
-    articles = v.articles_with_vectors()
-    times = articles.select(F.col("id").alias("article_id"), "published_at")
-    kept = drop_stale_clusters(previous.join(times, "article_id"), v.story_now(), KEEP)
-    return runs.window_articles(kept, articles, v.story_now(), KEEP).select("id")
+    kept = drop_stale_clusters(previous, v.story_now(), KEEP)
+    return runs.window_articles(kept, v.articles_with_vectors(), v.story_now(), KEEP).select("id")
 
 
 @check("evolve_run", "articles stories story_clock", EARLY_SQL + """
@@ -72,7 +68,7 @@ def bootstrap_run(v):
 @check("backfill_run", "articles legacy_clusters", """
 SELECT c.title, c.slug, count(*) AS members FROM legacy_clusters c JOIN articles a ON a.cluster_id = c.id GROUP BY 1, 2""")
 def backfill_run(v):
-    tables = runs.backfill_run(v.legacy_clusters(), v.articles(), 7, v.story_now())
+    tables = runs.backfill_run(v.legacy_clusters(), v.articles(clusters=True), 7, v.story_now())
     return (
         tables.memberships.join(tables.clusters.select(F.col("id").alias("cluster_id"), "title", "slug"), "cluster_id")
         .groupBy("title", "slug")
@@ -87,7 +83,7 @@ SELECT 'memberships', count(cluster_id) FROM articles""")
 def write_cluster_run(v):
     """A run written, written again, and read back."""
     path = scratch_path(v.spark, "runs")
-    tables = runs.backfill_run(v.legacy_clusters(), v.articles(), 7, v.story_now())
+    tables = runs.backfill_run(v.legacy_clusters(), v.articles(clusters=True), 7, v.story_now())
     runs.write_cluster_run(tables, path)
     runs.write_cluster_run(tables, path)
     stored = runs.read_runs(v.spark, path)

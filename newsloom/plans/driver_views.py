@@ -20,35 +20,33 @@ class DriverViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def articles(self) -> DataFrame:
-        """Documents with the time of their event; embeddings stay out unless asked for."""
+    def articles(self, clusters: bool = False, categories: bool = False) -> DataFrame:
+        """Documents with the time of their event; cluster and categories are joined when asked for."""
         events = self.table("events").select(
             (F.col("event_id") / 5).cast("bigint").alias("doc_id"),
             F.col("ts").cast("timestamp").alias("published_at"),
             F.col("event_id").alias("_event"),
             "event_type",
         )
-        docs = self.table("documents")
-        vectors = self.table("embeddings").select(
-            F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster_id")
-        )
-        labels = self.table("labels").select("doc_id", "quality")
-        return (
-            docs.join(events.where("_event % 5 = 0"), "doc_id")
-            .join(vectors, "doc_id", "left")
-            .join(labels, "doc_id", "left")
-            .select(
-                F.col("doc_id").alias("id"),
-                F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"),
-                F.left(F.substring_index("text", "\n", 1), F.lit(80)).alias("title"),
-                "published_at",
-                F.col("text").alias("content"),
-                "lang",
-                F.col("source").alias("news_provider_key"),
-                "cluster_id",
-                F.array_compact(F.array("lang", "event_type", F.col("quality").cast("string"))).alias("categories"),
-            )
-        )
+        rows = self.table("documents").join(events.where("_event % 5 = 0"), "doc_id")
+        columns = [
+            F.col("doc_id").alias("id"),
+            F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"),
+            F.left(F.substring_index("text", "\n", 1), F.lit(80)).alias("title"),
+            F.col("published_at"),
+            F.col("text").alias("content"),
+            F.col("lang"),
+            F.col("source").alias("news_provider_key"),
+        ]
+        if clusters:
+            labels = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster_id"))
+            rows = rows.join(labels, "doc_id", "left")
+            columns.append(F.col("cluster_id"))
+        if categories:
+            rows = rows.join(self.table("labels").select("doc_id", "quality"), "doc_id", "left")
+            named = F.array_compact(F.array("lang", "event_type", F.col("quality").cast("string")))
+            columns.append(named.alias("categories"))
+        return rows.select(*columns)
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(
@@ -105,7 +103,7 @@ class DriverViews:
     def stories(self) -> DataFrame:
         """Articles keyed by (label, day): the cluster input of the ranked feed."""
         day = F.date_format("published_at", "yyyy-MM-dd")
-        articles = self.articles().where("cluster_id IS NOT NULL")
+        articles = self.articles(clusters=True).where("cluster_id IS NOT NULL")
         return articles.withColumn("cluster_id", F.concat(F.col("cluster_id").cast("string"), F.lit("/"), day))
 
     def members(self) -> DataFrame:

@@ -31,8 +31,8 @@ class Inputs:
     stock: DataFrame | None = None
 
 
-def fresh_entries(raw: DataFrame, inputs: Inputs, stored: DataFrame | None, now: E.Clock | None = None) -> DataFrame:
-    """Entries of raw[provider_key, feed_url, fetched_at, body] that are recent, wanted and new.
+def fresh_entries(raw: DataFrame, inputs: Inputs, now: E.Clock | None = None) -> DataFrame:
+    """Entries of raw[provider_key, feed_url, fetched_at, body] that are recent and wanted, one per link.
 
     The clock is the fetch time of each feed unless ``now`` is given, so a replayed batch gives the
     same entries.
@@ -42,8 +42,7 @@ def fresh_entries(raw: DataFrame, inputs: Inputs, stored: DataFrame | None, now:
     recent = E.is_recent(items.where("published_at IS NOT NULL"), inputs.providers, clock)
     wanted = E.clamp_future(E.exclude(recent, inputs.exclusions), clock)
     slim = wanted.select("link", "provider_key", "title", "published_at", "summary", "image_urls")
-    entries = E.distinct_links(slim)
-    return entries if stored is None else E.new_only(entries, stored)
+    return E.distinct_links(slim)
 
 
 def quarantine(raw: DataFrame, inputs: Inputs, now: E.Clock | None = None) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +63,11 @@ def build_articles(entries: DataFrame, inputs: Inputs) -> DataFrame:
 def tick(raw: DataFrame, inputs: Inputs, path: str, now: E.Clock | None = None) -> DataFrame:
     """Ingest one batch of feeds into ``path``/articles; returns the articles it added."""
     spark, target = raw.sparkSession, f"{path}/articles"
-    stored = spark.read.parquet(target).select("url") if store.path_exists(spark, target) else None
-    # Pinned: the new entries feed both the page join and the assembly, and must be read before the
-    # store changes.
-    entries = pinned(fresh_entries(raw, inputs, stored, now))
+    # Pinned: the batch is compared with the store, joined with pages and assembled.
+    entries = pinned(fresh_entries(raw, inputs, now))
+    if store.path_exists(spark, target):
+        links = entries.select(F.col("link").alias("url"))
+        entries = pinned(E.new_only(entries, store.known_urls(links, spark.read.parquet(target))))
     return store.append_articles(build_articles(entries, inputs), target)
 
 
@@ -75,7 +75,7 @@ def cluster_tick(spark, path: str, now: E.Clock, generated=None, **options) -> r
     """Next cluster run over the stored articles; the very first one is a bootstrap."""
     if not store.path_exists(spark, f"{path}/articles"):
         return None
-    articles = spark.read.parquet(f"{path}/articles").select("id", "title", "embedding", "published_at")
+    articles = spark.read.parquet(f"{path}/articles").select("id", "title", "embedding", "published_at", "day")
     if runs.read_runs(spark, path) is None:
         tables = runs.bootstrap_run(articles, 1, 1, now, epsilon=options.get("epsilon", 0.2))
         runs.write_cluster_run(tables, path)

@@ -45,12 +45,14 @@ def window_articles(
     cap: int = WINDOW_CAP,
     late: str = "drop",
 ) -> DataFrame:
-    """Articles of the sliding window: kept members of the previous run plus what is newer.
+    """Articles of the sliding window: kept members of previous[article_id, published_at] plus what
+    is newer.
 
     ``late='drop'`` takes articles after the newest kept member; ``late='include'`` takes every
     article of the last ``keep`` that is in no kept cluster, whatever its time.
     """
     columns = ["id", "title", "embedding", "published_at"]
+    articles = _cut_to_window(previous, articles, now, keep)
     members = previous.select(F.col("article_id").alias("id")).distinct()
     kept = articles.select(*columns).join(members, "id", "left_semi")
     if late == "include":
@@ -61,6 +63,15 @@ def window_articles(
     return store.window_cap(kept, new, cap)
 
 
+def _cut_to_window(previous: DataFrame, articles: DataFrame, now: C.Clock, keep: timedelta) -> DataFrame:
+    """Articles from the oldest kept member (or ``now - keep``) on. The bound is a literal, so it
+    reaches the scan, and the day partitions where the table has them."""
+    oldest = previous.agg(F.min("published_at").alias("t"))
+    since = oldest.select(F.least(F.col("t"), C._moment(now) - F.lit(keep))).first()[0]
+    near = articles.where(F.col("published_at") >= F.lit(since))
+    return near.where(F.col("day") >= F.to_date(F.lit(since))) if "day" in articles.columns else near
+
+
 def draft_run(
     previous: DataFrame,
     titles: DataFrame,
@@ -70,10 +81,9 @@ def draft_run(
     epsilon: float = 0.2,
     **window,
 ) -> RunDraft | None:
-    """Cluster the next window. previous[cluster_id, article_id], titles[id, title],
-    articles[id, title, embedding, published_at]. None when there is nothing to cluster."""
-    times = articles.select(F.col("id").alias("article_id"), "published_at")
-    kept = pinned(C.drop_stale_clusters(previous.select("cluster_id", "article_id").join(times, "article_id"), now, keep))
+    """Cluster the next window. previous[cluster_id, article_id, published_at],
+    titles[id, title], articles[id, title, embedding, published_at]. None when there is nothing to cluster."""
+    kept = pinned(C.drop_stale_clusters(previous, now, keep))
     window_rows = pinned(window_articles(kept, articles, now, keep, **window))
     if window_rows.isEmpty():
         return None
@@ -106,7 +116,7 @@ def _tables(spark: SparkSession, titled: DataFrame, members: DataFrame, run_id:
         at.alias("created_at"),
     )
     memberships = members.join(numbers.select("label", F.col("id").alias("cluster_id")), "label").select(
-        "article_id", "cluster_id", F.lit(run_id).cast("bigint").alias("run_id")
+        "article_id", "cluster_id", "published_at", F.lit(run_id).cast("bigint").alias("run_id")
     )
     return RunTables(run_header(spark, run_id, at), clusters, memberships)
 
@@ -138,7 +148,8 @@ def backfill_run(old_clusters: DataFrame, articles: DataFrame, run_id: int, now:
     full = C.nonempty_clusters(old_clusters, articles)
     run = F.lit(run_id).cast("bigint").alias("run_id")
     clusters = full.select("id", "title", "slug", run, C._moment(now).alias("created_at"))
-    memberships = articles.where("cluster_id IS NOT NULL").select(F.col("id").alias("article_id"), "cluster_id", run)
+    linked = articles.where("cluster_id IS NOT NULL")
+    memberships = linked.select(F.col("id").alias("article_id"), "cluster_id", "published_at", run)
     return RunTables(run_header(articles.sparkSession, run_id, C._moment(now)), clusters, memberships)
 
 
@@ -184,7 +195,9 @@ def evolve_run(
     latest = None if stored is None else C.latest_run(stored.run, production_only).first()
     if latest is None:
         raise RuntimeError("no earlier cluster run; bootstrap one first")
-    previous = stored.memberships.where(F.col("run_id") == latest["id"]).select("cluster_id", "article_id")
+    previous = stored.memberships.where(F.col("run_id") == latest["id"]).select(
+        "cluster_id", "article_id", "published_at"
+    )
     titles = stored.clusters.where(F.col("run_id") == latest["id"]).select("id", "title")
     draft = draft_run(previous, titles, articles, now, **options)
     if draft is None:

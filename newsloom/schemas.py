@@ -28,8 +28,9 @@ CLUSTER_RUN = (
     "id bigint, algo_version string, params string, is_production boolean, created_at timestamp"
 )
 CLUSTER = "id bigint, title string, slug string, run_id bigint, created_at timestamp"
-# Keyed by its three columns; a surrogate id would need a global numbering on every write.
-MEMBERSHIP = "article_id bigint, cluster_id bigint, run_id bigint"
+# Keyed by its ids; a surrogate id would need a global numbering on every write. The article's time
+# is kept with it, so that the next run knows which part of the article table it needs.
+MEMBERSHIP = "article_id bigint, cluster_id bigint, published_at timestamp, run_id bigint"
 VOTE = "user_id string, provider_id string, value string, created_at timestamp"
 OUTLET_METRICS = (
     "id string, provider_key string, rank int, website string, publisher string, reach int, "
