@@ -111,16 +111,16 @@ def one_per_url(articles: DataFrame) -> DataFrame:
     return articles.groupBy("url").agg(best).select("url", "_a.*").select(*articles.columns)
 
 
-def append_articles(articles: DataFrame, path: str) -> DataFrame:
+def append_articles(articles: DataFrame, path: str, all_new: bool = False) -> DataFrame:
     """Append articles that are not stored yet, partitioned by day; returns the appended rows.
 
     Rows without ids get the next free ones. The rows are pinned before the write, being derived by
     an anti join against the very table that is about to change; running the same batch again
-    appends nothing.
+    appends nothing. ``all_new`` says that the caller has compared the URLs with the store already.
     """
     spark = articles.sparkSession
     fresh = one_per_url(articles)
-    if path_exists(spark, path):
+    if not all_new and path_exists(spark, path):
         known = known_urls(fresh.select("url"), spark.read.parquet(path))
         fresh = fresh.join(known, "url", "left_anti")
     fresh = pinned(fresh.withColumn("day", F.to_date("published_at")))

@@ -12,9 +12,11 @@ from newsloom.operators import entries as E
 from newsloom.operators import store
 from newsloom.operators.images import feed_images
 from newsloom.plans import runs
-from newsloom.session import pinned
+from newsloom.session import as_dimension, pinned
 from newsloom.sources.feeds import parse_feeds, quarantined_feeds, quarantined_items
 
+BATCH_LINKS = 100_000
+
 
 @dataclass
 class Inputs:
@@ -52,11 +54,22 @@ def quarantine(raw: DataFrame, inputs: Inputs, now: E.Clock | None = None) -> tu
 
 
 def build_articles(entries: DataFrame, inputs: Inputs) -> DataFrame:
-    """Extraction and enrichment of new entries only: the page join comes first and limits both."""
-    wanted = entries.select(F.col("link").alias("url"), "provider_key")
-    pages = inputs.pages.select("url", "html").join(wanted, "url")
+    """Extraction and enrichment of new entries only.
+
+    A batch of proven small size is sent to the scan of every lookup table, so that only its own
+    pages, answers and vectors take part in the joins; a larger batch goes into the joins directly.
+    """
+    links = entries.select(F.col("link").alias("url"))
+    batch = as_dimension(links, BATCH_LINKS)
+
+    def own(table: DataFrame | None) -> DataFrame | None:
+        return table if table is None or batch is links else table.join(batch, "url", "left_semi")
+
+    outlets = entries.select(F.col("link").alias("url"), "provider_key")
+    # Extraction is heavy per page: spread the batch, on the key of the joins that follow.
+    pages = own(inputs.pages.select("url", "html")).join(outlets, "url").repartition("url")
     extracted = A.extract_articles(pages, inputs.image_rules)
-    enriched = A.enrich(entries, extracted, inputs.responses, inputs.embeddings, inputs.stock)
+    enriched = A.enrich(entries, extracted, own(inputs.responses), own(inputs.embeddings), own(inputs.stock))
     return A.assemble_article(enriched)
 
 
@@ -68,7 +81,7 @@ def tick(raw: DataFrame, inputs: Inputs, path: str, now: E.Clock | None = None)
     if store.path_exists(spark, target):
         links = entries.select(F.col("link").alias("url"))
         entries = pinned(E.new_only(entries, store.known_urls(links, spark.read.parquet(target))))
-    return store.append_articles(build_articles(entries, inputs), target)
+    return store.append_articles(build_articles(entries, inputs), target, all_new=True)
 
 
 def cluster_tick(spark, path: str, now: E.Clock, generated=None, **options) -> runs.RunTables | None:
