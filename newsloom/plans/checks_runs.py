@@ -11,7 +11,7 @@ from newsloom.plans import ingest, runs
 from newsloom.plans.checks_articles import PUBLISHED
 from newsloom.plans.checks_clusters import PATTERN
 from newsloom.plans.checks_entries import FEED_ITEMS_SQL, raw_feeds
-from newsloom.plans.registry import as_text, check, text_sql
+from newsloom.plans.registry import as_text, check
 from newsloom.session import numbered, scratch_path
 from newsloom.sources.catalog import exclusion_rules, image_rules
 from newsloom.streaming import alerts
@@ -123,9 +123,9 @@ SELECT url, CASE WHEN feed_title <> '' THEN feed_title ELSE title END AS title F
 
 @check("stream_ingest", "articles", TICK_SQL)
 def stream_ingest(v):
-    """Feeds in three files through the ingest stream; the store must hold what SQL derives."""
+    """Feeds in two files through the ingest stream; the store must hold what SQL derives."""
     path = scratch_path(v.spark, "ingest")
-    raw_feeds(v).drop("feed_no").repartition(3, "feed_url").write.parquet(f"{path}/feeds")
+    raw_feeds(v).drop("feed_no").repartition(2, "feed_url").write.parquet(f"{path}/feeds")
     stream = feed_stream(v.spark, f"{path}/feeds", files_per_batch=1)
     run_ingest(stream, tick_inputs(v), path, f"{path}/checkpoint", every=None).awaitTermination()
     return v.spark.read.parquet(f"{path}/articles").select("url", "title")
