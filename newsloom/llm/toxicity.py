@@ -159,7 +159,7 @@ def mean_ratios(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def calibrate(ratio: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """Slope and bias of a logistic curve (Newton steps, slight ridge); the prior if a class is missing."""
     share = (label.sum() + 0.5) / (len(label) + 1.0)
-    if label.min(initial=1) == label.max(initial=0):
+    if not 0 < label.sum() < len(label):
         return 0.0, float(np.log(share / (1 - share)))
     mean, scale = ratio.mean(), ratio.std() or 1.0
     design = np.column_stack([(ratio - mean) / scale, np.ones(len(ratio))])
