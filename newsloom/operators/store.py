@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import as_dimension, numbered, pinned
+from newsloom.session import numbered, pinned
 
 
 def _newest_first() -> list[Column]:
@@ -37,14 +38,19 @@ def latest(articles: DataFrame, n: int) -> DataFrame:
     return articles.orderBy(*_newest_first()).limit(n)
 
 
-def articles_since(articles: DataFrame, since: Column, cap: int = 3000) -> DataFrame:
-    """Newest ``cap`` articles strictly after ``since``, only the columns clustering reads."""
-    recent = articles.where(F.col("published_at") > since).orderBy(*_newest_first()).limit(cap)
+def articles_since(articles: DataFrame, since: Column, cap: int | None = None) -> DataFrame:
+    """Articles strictly after ``since``, only the columns clustering reads; with ``cap`` only the
+    newest of them."""
+    recent = articles.where(F.col("published_at") > since)
+    if cap is not None:
+        recent = recent.orderBy(*_newest_first()).limit(cap)
     return recent.select("id", "title", "embedding", "published_at")
 
 
-def window_cap(previous: DataFrame, new: DataFrame, cap: int = 6000) -> DataFrame:
-    """Newest ``cap`` of previous ++ new; on equal times previous articles come first."""
+def window_cap(previous: DataFrame, new: DataFrame, cap: int | None = None) -> DataFrame:
+    """previous ++ new; with ``cap`` only the newest, on equal times previous articles first."""
+    if cap is None:
+        return chain(previous, new)
     chained = chain(previous.withColumn("_src", F.lit(0)), new.withColumn("_src", F.lit(1)))
     return chained.orderBy(F.desc("published_at"), "_src", "id").limit(cap).drop("_src")
 
@@ -136,11 +142,10 @@ def append_articles(articles: DataFrame, path: str, all_new: bool = False) -> Da
     return fresh.drop("day")
 
 
-def known_urls(urls: DataFrame, articles: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Those of ``urls`` that are stored. A batch of proven small size is sent to the store's scan,
-    so the store is read once and not shuffled; a larger batch meets it in a shuffle join."""
-    batch = as_dimension(urls.distinct(), max_rows)
-    return articles.select("url").join(batch, "url", "left_semi").distinct()
+def known_urls(urls: DataFrame, articles: DataFrame) -> DataFrame:
+    """Those of ``urls`` that are stored. Only the url column of the store is read; the planner picks
+    the join from real sizes, and nothing passes through the driver."""
+    return articles.select("url").join(urls.distinct(), "url", "left_semi").distinct()
 
 
 def _reserve_ids(spark: SparkSession, path: str, count: int) -> int:
@@ -157,8 +162,13 @@ def _reserve_ids(spark: SparkSession, path: str, count: int) -> int:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    try:
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018  the reader looks the path up
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def split_new_existing(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,14 +177,23 @@ def split_new_existing(existing: DataFrame, incoming: DataFrame) -> tuple[DataFr
 
 
 def upsert_providers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert new keys and overwrite name, url, rank and bias of existing ones; rows missing from
-    the input stay. The caller writes the result to a new path and swaps it in."""
-    fields = ("name", "url", "rank", "bias_rating")
-    old = existing.select("key", *[F.col(c).alias(f"_old_{c}") for c in fields])
-    new = incoming.select("key", *fields, F.lit(True).alias("_in"))
-    return old.join(new, "key", "full_outer").select(
-        "key", *[F.when(F.col("_in"), F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c) for c in fields]
-    )
+    """Insert new keys and overwrite the columns that ``incoming`` has for existing ones. Rows and
+    columns missing from the input stay as they are (null for a new key). A key that comes in twice
+    is an error. The caller writes the result to a new path and swaps it in."""
+    given = [c for c in incoming.columns if c != "key"]
+    kept = [c for c in existing.columns if c != "key"]
+    row = F.min(F.struct(*given))
+    one = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("repeated key: "), "key"))).otherwise(row)
+    new = incoming.groupBy("key").agg(one.alias("_new"))
+    met = existing.join(new, "key", "full_outer")
+
+    def merged(c: str) -> Column:
+        if c not in given:
+            return F.col(c)
+        old = F.col(c) if c in kept else F.lit(None)
+        return F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(old).alias(c)
+
+    return met.select("key", *[merged(c) for c in dict.fromkeys([*kept, *given])])
 
 
 # -- votes ---------------------------------------------------------------------------------------

@@ -82,7 +82,7 @@ def page_title(v):
 # -- enrichment ----------------------------------------------------------------------------------
 
 ANALYSIS_SQL = """
-SELECT url, left(content, 60) AS summary, id % 10 + 1 AS rank, lang || ' ' || news_provider_key AS categories,
+SELECT url, content AS summary, id % 10 + 1 AS rank, lang || ' ' || news_provider_key AS categories,
        id % 3 = 0 AS is_paywalled FROM articles WHERE id % 7 <> 0"""
 
 
@@ -120,7 +120,7 @@ def _tick(v):
 SELECT url, {PUBLISHED} AS published_at, news_provider_key,
        CASE WHEN id % 9 <> 0 AND title <> '' THEN title WHEN id % 5 <> 0 THEN 'Page of ' || title ELSE '' END AS title,
        CASE WHEN id % 5 <> 0 THEN 'desk' END AS author, CASE WHEN id % 5 <> 0 THEN content END AS content,
-       left(content, 60) AS summary, id % 10 + 1 AS llm_rank, id % 3 = 0 AS is_paywalled,
+       content AS summary, id % 10 + 1 AS llm_rank, id % 3 = 0 AS is_paywalled,
        CASE WHEN id % 4 = 0 AND id % 5 <> 0 THEN 'page.jpg feed.jpg' WHEN id % 2 = 0 THEN 'feed.jpg'
             WHEN id % 3 = 0 THEN 'stock.jpg' ELSE '' END AS images,
        round((SELECT list_sum(embedding::DOUBLE[]) FROM embeddings WHERE vec_id = id), 4) AS vector_sum
@@ -134,7 +134,7 @@ def assemble_article(v):
 
 
 @check("join_analysis", "articles entries", """
-SELECT id, link, left(content, 60) AS analysis_summary, id % 10 + 1 AS llm_rank FROM articles JOIN
+SELECT id, link, content AS analysis_summary, id % 10 + 1 AS llm_rank FROM articles JOIN
   (SELECT url AS link, id AS k FROM articles) ON k = id WHERE id % 7 <> 0""")
 def join_analysis(v):
     entries = v.articles().select("id", F.col("url").alias("link"))
@@ -302,7 +302,9 @@ def split_new_existing(v):
 
 @check("upsert_providers", "providers", """
 SELECT key, CASE WHEN n % 2 = 0 THEN name ELSE name || ' (renamed)' END AS name, url,
-       CASE WHEN n % 2 = 0 THEN rank ELSE 9 END AS rank, CASE WHEN n % 2 = 0 THEN bias_rating END AS bias_rating
+       CASE WHEN n % 2 = 0 THEN rank ELSE 9 END AS rank, CASE WHEN n % 2 = 0 THEN bias_rating END AS bias_rating,
+       CASE WHEN n < 10 OR n % 2 = 0 THEN window_days END AS window_days,
+       CASE WHEN n < 10 OR n % 2 = 0 THEN '%a, %d %b %Y %H:%M:%S %z' END AS date_format
 FROM (SELECT *, CAST(key[4:] AS INTEGER) AS n FROM providers)""")
 def upsert_providers(v):
     """Stored: numbers 0-9; incoming: every odd number (1-9 are updates, 11-19 inserts); even
@@ -313,7 +315,8 @@ def upsert_providers(v):
         "key", F.concat("name", F.lit(" (renamed)")).alias("name"), "url", F.lit(9).alias("rank"),
         F.lit(None).cast("string").alias("bias_rating"),
     )
-    return store.upsert_providers(stored, incoming)
+    merged = store.upsert_providers(stored, incoming)
+    return merged.withColumn("window_days", F.extract(F.lit("DAY"), "time_window").cast("int")).drop("time_window")
 
 
 # -- votes ---------------------------------------------------------------------------------------

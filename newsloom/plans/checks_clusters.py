@@ -290,7 +290,7 @@ def feed_card(v):
 
 # -- alerts --------------------------------------------------------------------------------------
 
-PATTERN = "Successfully processed .* new articles"
+PATTERN = "tick done: .* articles stored"
 BREACH_SQL = """
 , grid AS (SELECT unnest(generate_series(CAST(floor(epoch(min(ts)) / 60) * 60 AS BIGINT), CAST(ceil(epoch(max(ts)) / 60) * 60 AS BIGINT), 60)) AS tick FROM log),
 hits AS (SELECT epoch_us(ts) AS us FROM log WHERE event_type = 'click'),

@@ -33,14 +33,12 @@ EARLY_SQL = """
 , early AS (SELECT cluster_id, id, published_at, now FROM stories, story_clock WHERE published_at <= now - INTERVAL 2 DAY),
 kept AS (SELECT * FROM early WHERE cluster_id IN
          (SELECT cluster_id FROM early GROUP BY cluster_id, now HAVING max(published_at) > now - INTERVAL 9 DAY)),
-fresh AS (SELECT id, published_at FROM stories WHERE published_at > (SELECT max(published_at) FROM kept)
-          ORDER BY published_at DESC, id LIMIT 3000)
+fresh AS (SELECT id, published_at FROM stories WHERE published_at > (SELECT max(published_at) FROM kept))
 """
 
 
 @check("window_articles", "articles stories story_clock", EARLY_SQL + """
-SELECT id FROM (SELECT id, published_at, 0 AS src FROM kept UNION ALL SELECT id, published_at, 1 FROM fresh)
-ORDER BY published_at DESC, src, id LIMIT 6000""")
+SELECT id FROM kept UNION ALL SELECT id FROM fresh""")
 def window_articles(v):
     from newsloom.operators.clusters import drop_stale_clusters
 

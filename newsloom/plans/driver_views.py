@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import as_dimension
-
 RATINGS = ("left", "center-left", "center", "center-right", "right")
 VOTE_WORDS = ("left", "center left", "center", "center right", "right")
 
@@ -23,7 +21,7 @@ class DriverViews:
     def articles(self, clusters: bool = False, categories: bool = False) -> DataFrame:
         """Documents with the time of their event; cluster and categories are joined when asked for."""
         events = self.table("events").select(
-            (F.col("event_id") / 5).cast("bigint").alias("doc_id"),
+            F.expr("event_id div 5").alias("doc_id"),
             F.col("ts").cast("timestamp").alias("published_at"),
             F.col("event_id").alias("_event"),
             "event_type",
@@ -32,7 +30,7 @@ class DriverViews:
         columns = [
             F.col("doc_id").alias("id"),
             F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"),
-            F.left(F.substring_index("text", "\n", 1), F.lit(80)).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("published_at"),
             F.col("text").alias("content"),
             F.col("lang"),
@@ -58,7 +56,7 @@ class DriverViews:
 
     def providers(self) -> DataFrame:
         number = F.regexp_extract("key", r"(\d+)", 1).cast("int")
-        keys = as_dimension(self.table("documents").select(F.col("source").alias("key")).distinct())
+        keys = self.table("documents").select(F.col("source").alias("key")).distinct()
         ratings = F.array(*[F.lit(r) for r in RATINGS])
         return keys.select(
             "key",
@@ -139,7 +137,7 @@ class DriverViews:
         """Analysis answers as JSON text; every seventh one is cut off."""
         payload = F.to_json(
             F.struct(
-                F.left(F.col("content"), F.lit(60)).alias("summary"),
+                F.col("content").alias("summary"),
                 (F.col("id") % 10 + 1).cast("int").alias("rank"),
                 F.array("lang", "news_provider_key").alias("categories"),
                 F.lit("city street").alias("stock_image_search"),
@@ -155,7 +153,7 @@ class DriverViews:
         return self.table("events").select(
             F.col("ts").cast("timestamp").alias("ts"),
             F.lit("ingest").alias("service"),
-            F.when(F.col("event_type") == "click", F.lit("Successfully processed 3 new articles in 1.0 seconds!"))
+            F.when(F.col("event_type") == "click", F.lit("tick done: 3 articles stored"))
             .otherwise(F.col("event_type"))
             .alias("message"),
         )
@@ -172,7 +170,7 @@ class DriverViews:
 SQL_VIEWS = {
     "articles": """
         SELECT d.doc_id AS id, concat('https://', d.source, '.example/', d.doc_id) AS url,
-               left(split_part(d.text, chr(10), 1), 80) AS title, CAST(e.ts AS TIMESTAMP) AS published_at,
+               split_part(d.text, chr(10), 1) AS title, CAST(e.ts AS TIMESTAMP) AS published_at,
                d.text AS content, d.lang, concat(d.source, '') AS news_provider_key, m.label AS cluster_id,
                [x FOR x IN [d.lang, e.event_type, CAST(l.quality AS VARCHAR)] IF x IS NOT NULL] AS categories
         FROM documents d JOIN events e ON e.event_id = d.doc_id * 5

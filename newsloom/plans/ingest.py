@@ -12,11 +12,9 @@ from newsloom.operators import entries as E
 from newsloom.operators import store
 from newsloom.operators.images import feed_images
 from newsloom.plans import runs
-from newsloom.session import as_dimension, pinned
+from newsloom.session import pinned
 from newsloom.sources.feeds import parse_feeds, quarantined_feeds, quarantined_items
 
-BATCH_LINKS = 100_000
-
 
 @dataclass
 class Inputs:
@@ -56,14 +54,13 @@ def quarantine(raw: DataFrame, inputs: Inputs, now: E.Clock | None = None) -> tu
 def build_articles(entries: DataFrame, inputs: Inputs) -> DataFrame:
     """Extraction and enrichment of new entries only.
 
-    A batch of proven small size is sent to the scan of every lookup table, so that only its own
-    pages, answers and vectors take part in the joins; a larger batch goes into the joins directly.
+    Every lookup table is cut to the batch's links first, so that only its own pages, answers and
+    vectors take part in the joins; no batch passes through the driver.
     """
-    links = entries.select(F.col("link").alias("url"))
-    batch = as_dimension(links, BATCH_LINKS)
+    batch = entries.select(F.col("link").alias("url"))
 
     def own(table: DataFrame | None) -> DataFrame | None:
-        return table if table is None or batch is links else table.join(batch, "url", "left_semi")
+        return table if table is None else table.join(batch, "url", "left_semi")
 
     outlets = entries.select(F.col("link").alias("url"), "provider_key")
     # Extraction is heavy per page: spread the batch, on the key of the joins that follow.

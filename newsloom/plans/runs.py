@@ -14,9 +14,8 @@ from newsloom.operators import store
 from newsloom.operators.density import cluster_articles
 from newsloom.session import local_table, pinned
 
-# Version tag and window limits of a run.
+# Fixed value: version tag of a run.
 ALGO_VERSION = "hdbscan-1.0.0"
-WINDOW_CAP, NEW_CAP, BOOTSTRAP_SIZE = 6000, 3000, 3000
 
 
 @dataclass
@@ -41,15 +40,16 @@ def window_articles(
     articles: DataFrame,
     now: C.Clock,
     keep: timedelta = C.STALE_AFTER,
-    new_cap: int = NEW_CAP,
-    cap: int = WINDOW_CAP,
+    new_cap: int | None = None,
+    cap: int | None = None,
     late: str = "drop",
 ) -> DataFrame:
     """Articles of the sliding window: kept members of previous[article_id, published_at] plus what
     is newer.
 
     ``late='drop'`` takes articles after the newest kept member; ``late='include'`` takes every
-    article of the last ``keep`` that is in no kept cluster, whatever its time.
+    article of the last ``keep`` that is in no kept cluster, whatever its time. ``new_cap`` and
+    ``cap`` keep the newest articles only; by default nothing is cut.
     """
     columns = ["id", "title", "embedding", "published_at"]
     articles = _cut_to_window(previous, articles, now, keep)
@@ -132,10 +132,11 @@ def run_header(spark: SparkSession, run_id: int, at: Column, params: str | None
 
 
 def bootstrap_run(
-    articles: DataFrame, run_id: int, first_cluster_id: int, now: C.Clock, n: int = BOOTSTRAP_SIZE, epsilon: float = 0.2
+    articles: DataFrame, run_id: int, first_cluster_id: int, now: C.Clock, n: int | None = None, epsilon: float = 0.2
 ) -> RunTables:
-    """First run: the latest ``n`` articles, each cluster titled by its newest article."""
-    rows = pinned(store.latest(articles.select("id", "title", "embedding", "published_at"), n))
+    """First run: all articles, or the latest ``n``, each cluster titled by its newest article."""
+    slim = articles.select("id", "title", "embedding", "published_at")
+    rows = pinned(slim if n is None else store.latest(slim, n))
     named = rows.select(F.col("id").alias("article_id"), F.col("title").alias("article_title"))
     labelled = cluster_articles(rows, epsilon=epsilon).withColumnRenamed("id", "article_id")
     members = pinned(labelled.join(named, "article_id"))

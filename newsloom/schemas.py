@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-ENTRY = (
-    "link string, provider_key string, title string, published_at timestamp, summary string, "
-    "image_urls array<string>"
-)
-EXTRACTED = (
-    "url string, title string, author string, deck string, content string, published_at string, "
-    "image_urls array<string>"
-)
 ANALYSIS = (
     "summary string, rank int, categories array<string>, stock_image_search string, "
     "is_paywalled boolean"
 )
-ARTICLE = (
-    "id bigint, url string, title string, published_at timestamp, deck string, summary string, "
-    "author string, content string, embedding array<double>, image_urls array<string>, "
-    "categories array<string>, llm_rank int, is_paywalled boolean, news_provider_key string, "
-    "cluster_id bigint"
-)
 PROVIDER = (
     "key string, name string, url string, rank int, bias_rating string, "
     "time_window interval day to second, date_format string, feeds array<string>"
@@ -31,17 +17,6 @@ CLUSTER = "id bigint, title string, slug string, run_id bigint, created_at times
 # Keyed by its ids; a surrogate id would need a global numbering on every write. The article's time
 # is kept with it, so that the next run knows which part of the article table it needs.
 MEMBERSHIP = "article_id bigint, cluster_id bigint, published_at timestamp, run_id bigint"
-VOTE = "user_id string, provider_id string, value string, created_at timestamp"
-OUTLET_METRICS = (
-    "id string, provider_key string, rank int, website string, publisher string, reach int, "
-    "reach_percent double, avg_daily_reach int, views int, avg_session_duration string, "
-    "trend double, created_at timestamp"
-)
-SOCIAL_POST = (
-    "id bigint, platform string, url string, posted_at timestamp, platform_metadata string, "
-    "created_at timestamp"
-)
-ARTICLE_SOCIAL_POST = "id bigint, article_id bigint, social_post_id bigint"
 LOG_EVENT = "ts timestamp, service string, message string"
 RAW_FEED = "provider_key string, feed_url string, fetched_at timestamp, body string"
 EXCLUSION_RULE = "provider_key string, field string, prefix string"
@@ -50,6 +25,5 @@ IMAGE_RULE = (
     "first_only boolean, prefix string, order int"
 )
 
-# Ratings a provider or a vote may carry, and supported social platforms.
+# Ratings a provider or a vote may carry.
 BIAS_RATINGS = ("left", "center-left", "center", "center-right", "right")
-SOCIAL_PLATFORMS = ("reddit",)

@@ -111,8 +111,3 @@ def numbered(
         .withColumn(out, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("bigint"))
         .drop("_slice", "_local", "_before")
     )
-
-
-def slice_of(key: Column, slices: int) -> Column:
-    """Deterministic hash slice used to spread one hot key over several tasks."""
-    return F.pmod(F.xxhash64(key), F.lit(slices))

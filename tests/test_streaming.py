@@ -68,17 +68,17 @@ def test_ingest_restarts_without_repeats(spark, tmp_path):
 
 
 def log(spark, *minutes):
-    rows = [(T0 + timedelta(minutes=m), "ingest", "Successfully processed 3 new articles" if ok else "tick") for m, ok in minutes]
+    rows = [(T0 + timedelta(minutes=m), "ingest", "tick done: 3 articles stored" if ok else "tick") for m, ok in minutes]
     return spark.createDataFrame(rows, schemas.LOG_EVENT)
 
 
 def test_batch_alert_holds_before_firing(spark):
     lines = log(spark, (0, True), (10.5, True), (31, False), (36, False), (37, True), (60, False))
-    fired = monitor.liveness_alert(lines, "Successfully processed .* new articles").collect()
+    fired = monitor.liveness_alert(lines, "tick done: .* articles stored").collect()
     at = sorted((r.tick - int((T0 - datetime(1970, 1, 1)).total_seconds())) // 60 for r in fired)
     # Silent after 10.5: breached from 31, firing at 36; healthy from 37; breached again from 57.
     assert at == [36]
-    periods = monitor.breach_periods(monitor.breaches(lines, "Successfully")).collect()
+    periods = monitor.breach_periods(monitor.breaches(lines, "tick done")).collect()
     assert len(periods) == 2 and sum(p.fires_at is not None for p in periods) == 1
 
 
@@ -88,7 +88,7 @@ def test_stream_alert_fires_without_a_later_success(spark, tmp_path):
     log(spark, (20, False), (70, False)).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schemas.LOG_EVENT).option("maxFilesPerTrigger", 1).parquet(path)
     query = (
-        alerts.silence_alerts(stream, "Successfully")
+        alerts.silence_alerts(stream, "tick done")
         .writeStream.outputMode("append")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .format("parquet").option("path", str(tmp_path / "out"))
