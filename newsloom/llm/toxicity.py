@@ -23,8 +23,8 @@ BITS = 20
 DISCOUNT, SHARED = 0.75, 0.5
 #: Share of toxic expressions that the toxic model supposes in a toxic text.
 SHARE = 0.02
-#: Labelled rows of the calibration fold that reach the driver as (ratio, label), at most.
-CALIBRATION_ROWS = 20_000
+#: Labelled rows that are learnt from, at most: those with the smallest hashes of their ids.
+LABELLED_ROWS = 40_000
 #: Distinct expressions a task holds before it turns them into counts, or forgets their ratios.
 HELD = 200_000
 
@@ -78,7 +78,7 @@ class Model:
         model mixes expressions of toxic texts into ordinary language, as toxic texts do."""
         bucket, before, _ = prefixes(words)
         live = bucket >= 0
-        n, m, f = self.total[:, bucket], self.total[:, before], self.kinds[:, before]
+        n, m, f = (x.astype(np.float64) for x in (self.total[:, bucket], self.total[:, before], self.kinds[:, before]))
         shared = (np.maximum(n[2] - DISCOUNT, 0) + DISCOUNT * f[2] / 64 + 0.01) / (m[2] + 0.64)
         own = (np.maximum(n[:2] - DISCOUNT, 0) + (DISCOUNT * f[:2] + SHARED) * shared) / (m[:2] + SHARED)
         logs = np.where(live, np.log(own), 0.0).sum(axis=2)
@@ -107,40 +107,44 @@ def _counts(words: Counter, column: int) -> tuple[np.ndarray, ...]:
     return every, np.full(len(every), column, np.int64), out_n, out_mask
 
 
-def count_table(docs: DataFrame) -> DataFrame:
-    """``(bucket, part, n, mask)`` over ``(text, class)``: part 0 and 1 count the texts of each class,
+def count_table(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
+    """``(bucket, part, n, mask)`` over ``(doc_id, text)``: part 0 and 1 count the texts of each class,
     part 2 every text, labelled or not. A text counts an expression once: what the lower orders see is
     in how many contexts (texts) an expression stands, as Kneser-Ney continuation counts do."""
     text_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         held = (Counter(), Counter(), Counter())
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words = set(expressions(text))
                     held[2].update(words)
-                    if kind in (0, 1):
+                    if (kind := known.get(name)) is not None:
                         held[kind].update(words)
             for part, words in enumerate(held):
                 if words and (batch is None or len(words) > HELD):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in _counts(words, part)], names=["bucket", "part", "n", "mask"])
                     words.clear()
 
-    rows = docs.select("text", F.col("class").cast("int")).mapInArrow(run, "bucket long, part long, n long, mask long")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "bucket long, part long, n long, mask long")
     return rows.groupBy("bucket", "part").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
 
 
-def mean_ratios(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def mean_ratios(docs: DataFrame, model: Model, keep: list[str], only: set[int] | None = None) -> DataFrame:
     """The columns ``keep`` and ``ratio``: the length-normalised log-likelihood ratio of the whole
-    ``text`` (0 without expressions)."""
+    ``text`` (0 without expressions); of ``only`` the named ids (the first column), if given."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.total.astype(np.float32), model.kinds.astype(np.uint8)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.total, model.kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Model(*shared.value)
         known: dict[str, float] = {}
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pa.array([x in only for x in batch.column(0).to_pylist()], pa.bool_()))
             lists = [expressions(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             if len(known) > HELD:
                 known = {}
@@ -179,20 +183,26 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> Model:
     """Learn from the labelled rows of ``docs`` whose crc32(doc_id) mod 5 is not 0.
 
     Folds 1-3 give the class counts, fold 4 the calibration; all texts give the shared counts, without
-    their labels. The model that is gathered and broadcast has at most 3 x 2^BITS buckets.
+    their labels. At most LABELLED_ROWS labels are used, so they can be looked up where the texts are
+    read, and no text is shuffled. The model that is gathered and broadcast has at most 3 x 2^BITS buckets.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id", "left").withColumn("fold", fold(F.col("doc_id")))
-    learn = F.when(F.col("fold").isin(1, 2, 3), F.col("toxic"))
-    counts = count_table(rows.select("text", learn.alias("class"))).toPandas()
-    model = Model(np.zeros((3, 1 << bits)), np.zeros((3, 1 << bits)))
-    at = (counts["part"].to_numpy(), counts["bucket"].to_numpy())
-    model.total[at] = counts["n"].to_numpy()
-    masks = counts["mask"].to_numpy(np.int64)
-    model.kinds[at] = np.bitwise_count(masks.view(np.uint64))
-    check = mean_ratios(rows.where("fold = 4 AND toxic IS NOT NULL"), model, ["toxic"])
-    pairs = check.limit(CALIBRATION_ROWS).toPandas()
-    model.slope, model.bias = calibrate(pairs["ratio"].to_numpy(float), pairs["toxic"].to_numpy(float))
+    known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
+    rows = known.toArrow().to_pylist()
+    learn = {r["doc_id"]: r["toxic"] for r in rows if r["fold"] != 4}
+    check = {r["doc_id"]: r["toxic"] for r in rows if r["fold"] == 4}
+    counts = count_table(docs, learn).select(
+        F.col("bucket").cast("int"), F.col("part").cast("byte"), F.col("n").cast("float"), F.bit_count("mask").cast("byte").alias("kinds")
+    )
+    model = Model(np.zeros((3, 1 << bits), np.float32), np.zeros((3, 1 << bits), np.uint8))
+    # Ten bytes a bucket reach the driver, one batch after the other.
+    for batch in counts.toArrow().to_batches():
+        bucket, part, n, kinds = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        model.total[part, bucket] = n
+        model.kinds[part, bucket] = kinds
+    pairs = mean_ratios(docs.where(fold(F.col("doc_id")) == 4), model, ["doc_id"], set(check)).toArrow().to_pylist()
+    ratio = np.array([r["ratio"] for r in pairs], float)
+    model.slope, model.bias = calibrate(ratio, np.array([check[r["doc_id"]] for r in pairs], float))
     return model
 
 
