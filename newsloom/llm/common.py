@@ -22,6 +22,12 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
+def tidy_shuffles(spark: SparkSession) -> None:
+    """Delete a job's shuffle files when it ends, not when the driver next collects its garbage. What
+    still wants them (a DataFrame that is run again) has their stages run again."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = 8) -> DataFrame:
     """Join ``many`` to ``one`` (one row per key), dealing each key of ``many`` out to ``salts`` tasks.
 
