@@ -211,6 +211,10 @@ def hex_print(fp: str = "fp") -> Column:
 
 #: 64-bit words of a wide fingerprint, words that distances are taken on, and bits of a bucket's key.
 WIDE, MEASURED, KEY_BITS = 16, 2, 16
+#: Links a task holds beyond those of its forests, and the growth of the number of forests from round to round.
+MET, GROWTH = 1 << 20, 8
+#: Columns of a proposed link, or of a group that has more of them.
+PROPOSED = {"a": pa.int64(), "b": pa.int64(), "block": pa.int32(), "key": pa.int64(), "i": pa.int32(), "j": pa.int32(), "shards": pa.int32()}
 
 
 def wide_batch(texts: list[str | None], size: int) -> np.ndarray:
@@ -246,36 +250,79 @@ def _wide_prints(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, name string, wide array<long>, some boolean")
 
 
-def _shard_forest(radius: int):
-    """Per group: links within the radius from the BK-tree of a shard, nearest first, as a forest."""
+class Forests:
+    """At most ``most`` edge-disjoint forests, each spanning what is left of the edges before it. Two
+    nodes that a forest connects are connected in all forests before it."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.levels: list[Forest] = []
+
+    def add(self, a: int, b: int) -> bool:
+        """Put an edge into the first forest that doesn't connect its ends; False if all do."""
+        low, high = 0, len(self.levels)
+        while low < high:
+            at = (low + high) // 2
+            if self.levels[at].find(a) == self.levels[at].find(b):
+                low = at + 1
+            else:
+                high = at
+        if low == self.most:
+            return False
+        if low == len(self.levels):
+            self.levels.append(Forest())
+        self.levels[low].union(a, b)
+        return True
+
+
+def _nearest(met: list[tuple], most: int) -> list[tuple]:
+    """The links ``(distance, a, b, set of a, set of b)`` of ``most`` forests over the sets, nearest first."""
+    forests = Forests(most)
+    return [x for x in sorted(met) if forests.add(x[3], x[4])]
+
+
+def _shard_forests(radius: int, most: int):
+    """Per group: of the links within the radius between members that verified links have not joined
+    (``comp`` differs), those of ``most`` forests. If that leaves links out, the group is named too."""
+    held = MET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ("block", "key", "i", "j")):
+            ids, own, comps = (rows.column(c).to_pylist() for c in ("rep", "own", "comp"))
+            if len(set(comps)) < 2:
+                continue
             prints = [sum((x & WORD) << (64 * k) for k, x in enumerate(v)) for v in rows.column("near").to_pylist()]
-            ids, own = rows.column("rep").to_pylist(), rows.column("own").to_pylist()
             alone = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
             tree, members = BKTree(), []
-            met: list[tuple[int, int, int]] = []
+            met: list[tuple] = []
+            limit, whole = held, True
             if not alone:
-                for value, rep, first in zip(prints, ids, own, strict=True):
+                for value, rep, first, comp in zip(prints, ids, own, comps, strict=True):
                     if first:
                         tree.add(value)
-                        members.append(rep)
-            for value, rep, first in zip(prints, ids, own, strict=True):
+                        members.append((rep, comp))
+            for value, rep, first, comp in zip(prints, ids, own, comps, strict=True):
                 if alone or not first:
-                    met += [((tree.values[at] ^ value).bit_count(), rep, members[at]) for at in tree.near(value, radius)]
+                    for at in tree.near(value, radius):
+                        other, joined = members[at]
+                        if joined != comp:
+                            pair = (rep, other, comp, joined) if rep < other else (other, rep, joined, comp)
+                            met.append(((tree.values[at] ^ value).bit_count(), *pair))
+                    if len(met) > limit:
+                        kept = _nearest(met, most)
+                        whole &= len(kept) == len(met)
+                        met, limit = kept, len(kept) + held
                 if alone:
                     tree.add(value)
-                    members.append(rep)
-            forest = Forest()
-            kept = []
-            for _, a, b in sorted(met):
-                if forest.find(a) != forest.find(b):
-                    forest.union(a, b)
-                    kept.append((min(a, b), max(a, b)))
-            if kept:
-                a, b = zip(*kept, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    members.append((rep, comp))
+            kept = _nearest(met, most)
+            whole &= len(kept) == len(met)
+            links_ = [(a, b, None, None, None, None, None) for _, a, b, _, _ in kept]
+            if not whole:
+                links_.append((None, None, *(rows.column(c)[0].as_py() for c in ("block", "key", "i", "j", "shards"))))
+            for at in range(0, len(links_), 1 << 16):
+                columns = zip(*links_[at : at + (1 << 16)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PROPOSED.values(), strict=True)], names=list(PROPOSED))
 
     return run
 
@@ -309,7 +356,10 @@ def near_copies(
     64-bit fingerprint. So the fingerprint has 1024 bits in 64 keys of 16 bits: texts with a
     similarity of 0.8 share a key in 99 cases of 100, more similar ones nearly always. In a key's bucket a
     BK-tree (in shards of bounded size, as above) finds the members within ``radius`` of 128 bits.
-    Of a bucket's links the nearest that span it are verified on whole texts; pairs are not listed.
+    Only verified links join texts. In rounds, a bucket proposes the nearest links that span what
+    verified links have not joined, and they are verified on whole texts. Refuted links are proposed
+    again, so each round takes ``GROWTH`` times as many forests as the last; a bucket is done when it
+    leaves no link out. So every candidate is verified, or its ends are joined by verified links.
 
     Equal texts are one class. Texts without words are one group if they are equal, and are otherwise
     similar to nothing. Rows of one id are one document. Rows without an id are not returned.
@@ -321,21 +371,38 @@ def near_copies(
     word = lambda k: F.get("wide", k // per_word)
     keys = [F.shiftrightunsigned(word(k), KEY_BITS * (k % per_word)).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) for k in range(WIDE * per_word)]
     rows = classes.where("some").select("rep", F.slice("wide", 1, MEASURED).alias("near"), F.posexplode(F.array(*keys)).alias("block", "key"))
-    # Classes of one document share its id, and one is enough in a bucket.
     sizes = rows.groupBy("block", "key").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.count("*").alias("n"))
-    met = rows.join(sizes.where("n > 1").drop("n"), ["block", "key"])
-    home = met.withColumn("home", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    dealt = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(
-        "block", "key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"),
-        (F.col("home") <= F.col("other")).alias("own"), "near", "rep",
-    )
+    sizes = sizes.where("n > 1").drop("n")
     by = ["block", "key", "i", "j"]
-    pairs = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_shard_forest(radius), "a long, b long")
-    linked = _verified(source, pinned(pairs.where("a <> b").distinct()), size, least)
     # The class of a text and all ids that have it.
     same = prints.select("doc_id", "name").distinct()
     copies = salted_join(same, classes.select("name", "rep"), "name", F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(pinned(linked.unionByName(copies.where("a <> b"))))
+    edges = pinned(copies.where("a <> b"))
+    tested = found = left = None
+    most = 1
+    while True:
+        named = rows.withColumn("comp", F.col("rep"))
+        if found is not None:
+            named = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        home = named.join(sizes, ["block", "key"]).withColumn("home", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+        dealt = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(
+            "block", "key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"),
+            (F.col("home") <= F.col("other")).alias("own"), "shards", "near", "rep", "comp",
+        )
+        if left is not None:
+            dealt = dealt.join(left.select(*by), by, "left_semi")
+        schema = "a long, b long, block int, key long, i int, j int, shards int"
+        proposed = pinned(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_shard_forests(radius, most), schema))
+        pairs = proposed.where("a <> b").select("a", "b").distinct()
+        pairs = pinned(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        edges = edges.unionByName(pinned(_verified(source, pairs, size, least)))
+        found = components(edges)
+        left = proposed.where("a IS NULL").select(*by, "shards")
+        if left.isEmpty():
+            break
+        sizes = left.select("block", "key", "shards").distinct()
+        most *= GROWTH
     return same.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id")
     )

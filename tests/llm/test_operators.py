@@ -183,6 +183,38 @@ def test_near_copies(spark):
     assert near_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_near_copies_among_false_neighbours(spark, monkeypatch, held):
+    from newsloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "MET", held, raising=False)
+    rng = random.Random(12)
+    base = [f"b{rng.random()}" for _ in range(300)]
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(5, 295), n):
+            out[at] = f"new{rng.random()}"
+        return out
+
+    # A family whose members are similar at about 0.75, and copies of a few of them at about 0.82.
+    texts, sets = [], []
+    while len(texts) < 160:
+        words = changed(base, 4)
+        own = set(simhash.shingle_hashes(" ".join(words), 5))
+        if all(jaccard(own, x) < 0.795 for x in sets):
+            texts.append(words)
+            sets.append(own)
+    for i in range(20):
+        texts.append(changed(texts[i], 6))
+        sets.append(set(simhash.shingle_hashes(" ".join(texts[-1]), 5)))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(pairs) >= 20
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == roots(range(len(texts)), pairs)
+
+
 # ---- 3 WARC
 
 
