@@ -100,10 +100,22 @@ def leaks(
     bench = _written(bench.withColumn("fq", simhash(F.col("b"))), "items")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     parts = bench.select("item_id", F.size("b").alias("size"), F.posexplode("b").alias("at", "h"))
-    hits = texts.select("doc_id", words(F.col("_t")).alias("_w")).select("doc_id", F.posexplode(shingles("_w")).alias("pos", "h")).join(parts, "h")
-    need = F.ceil(2 * percent * F.col("size") / F.lit(100 + percent))
+    # An item of fewer words than a shingle is one shingle of its length; texts get runs of these lengths too.
+    lengths = [r["m"] for r in bench.where(F.col("m") < SHINGLE).select("m").distinct().orderBy("m").collect()]
+    runs = lambda k: F.transform(
+        F.when(F.size("_w") >= k, F.sequence(F.lit(0), F.size("_w") - k)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("_w", i + 1, k)).alias("h")),
+    )
+    whole = F.transform(shingles("_w"), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    # What a text shorter than a shingle is as a whole, is its one run of that length.
+    every = F.array_distinct(F.concat(whole, *[runs(k) for k in lengths])) if lengths else whole
+    spans = texts.select("doc_id", words(F.col("_t")).alias("_w"))
+    spans = spans.select("doc_id", F.greatest(F.lit(1), F.size("_w") - (SHINGLE - 1)).alias("held"), F.explode(every).alias("s"))
+    hits = spans.select("doc_id", "held", "s.pos", "s.h").join(parts, "h")
+    # A window is as long as the item, or the whole of a shorter document.
+    need = F.ceil(percent * (F.least("size", "held") + F.col("size")) / F.lit(100 + percent))
     likely = _written(
-        hits.groupBy("doc_id", "item_id", "size")
+        hits.groupBy("doc_id", "item_id", "size", "held")
         .agg(F.count_distinct("at").alias("n"), F.collect_set(F.col("pos") - F.col("at")).alias("starts"))
         .where(F.col("n") >= need)
         .select("doc_id", "item_id", "starts"),

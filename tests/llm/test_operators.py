@@ -504,6 +504,24 @@ def test_leaks(spark):
     assert leaks(empty(spark), bench).count() == 0 and leaks(docs, empty(spark, "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_short_texts_and_items(spark):
+    from newsloom.llm.decontamination import leaks
+
+    long = [f"w{i}" for i in range(50)]
+    items = [(1, " ".join(long)), (2, "alpha beta gamma"), (3, "solo"), (4, "Three of four words"[6:])]
+    docs = [
+        (10, " ".join(long[:44])),  # 40 of 46 shingles
+        (11, " ".join(long[:40])),  # 36 of 46 are too few
+        (12, "one two three Alpha, beta gamma four five six"),
+        (13, "alpha beta delta gamma five six"),
+        (14, "so we met, solo"),
+        (15, "alpha beta gamma"),
+        (16, "x of four words"),
+    ]
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+    assert got == {(10, 1): (0, 40 / 46), (12, 2): (3, 1.0), (14, 3): (3, 1.0), (15, 2): (0, 1.0), (16, 4): (1, 1.0)}
+
+
 # ---- 10 vectors
 
 
