@@ -4,33 +4,33 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from newsloom.llm.common import text_batches
+from newsloom.session import scratch_path
 
 #: Letters of an expression that are modelled; a shorter one ends with an end mark.
 DEPTH = 8
-#: Hash buckets of the expression tree: the model's size, whatever the corpus.
-BITS = 20
 #: Absolute discount and pseudo-count of the shared distribution.
 DISCOUNT, SHARED = 0.75, 0.5
 #: Share of toxic expressions that the toxic model supposes in a toxic text.
 SHARE = 0.02
 #: Labelled rows that are learnt from, at most: those with the smallest hashes of their ids.
 LABELLED_ROWS = 40_000
-#: Distinct expressions a task holds before it turns them into counts, or forgets their ratios.
-HELD = 200_000
+#: Texts and letters of a chunk of texts, and expressions of a chunk of expressions.
+TEXTS, LETTERS_HELD, WORDS = 2048, 1 << 23, 50_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 END = 0x1FFFFF
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def expressions(text: str | None) -> list[str]:
@@ -38,126 +38,175 @@ def expressions(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the prefixes of each word, the bucket of what stands before each prefix's last
-    letter, and that letter's class (0-63); -1 past the end. One row for each word."""
+def _mixed(state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """64-bit hash of a state and the letter after it."""
+    state = (state ^ code) * MIX
+    state = (state ^ (state >> np.uint64(31))) * MIX2
+    return state ^ (state >> np.uint64(29))
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each modelled letter of each word: the word's index, and 64-bit hashes of what stands before
+    the letter and of both. What stands before a letter is the whole prefix."""
     cut = [w[:DEPTH] for w in words]
-    codes = np.zeros((len(words), DEPTH), np.uint32)
-    flat = np.frombuffer("".join(x.ljust(DEPTH, "\0") for x in cut).encode("utf-32-le"), np.uint32)
-    codes[:] = flat.reshape(-1, DEPTH)
-    lengths = np.array([len(w) for w in words])
-    for short in range(DEPTH):
-        codes[lengths == short, short] = END
-    bucket = np.full((len(words), DEPTH), -1, np.int64)
-    before = np.full((len(words), DEPTH), -1, np.int64)
-    letter = np.zeros((len(words), DEPTH), np.int64)
-    state = np.full(len(words), 1, np.uint64)
-    parent = np.zeros(len(words), np.int64)
+    lengths = np.array([min(len(w) + 1, DEPTH) for w in words], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    word = np.repeat(np.arange(len(words)), lengths)
+    code = np.full(len(word), END, np.uint64)
+    place = np.arange(len(word)) - starts[word]
+    code[place < np.array([len(w) for w in cut], np.int64)[word]] = np.frombuffer("".join(cut).encode("utf-32-le"), np.uint32)
+    before, here = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
+    state = np.ones(len(words), np.uint64)
     for k in range(DEPTH):
-        live = codes[:, k] > 0
-        state = (state ^ codes[:, k].astype(np.uint64)) * MIX
-        state ^= state >> np.uint64(31)
-        here = (state >> np.uint64(64 - BITS)).astype(np.int64)
-        bucket[live, k], before[live, k] = here[live], parent[live]
-        letter[:, k] = (codes[:, k] * np.uint32(2654435761)) >> np.uint32(26)
-        parent = here
-    return bucket, before, letter
-
-
-@dataclass
-class Model:
-    """Counts by bucket for (ordinary, toxic, shared): expressions with a prefix, and kinds of next letters."""
-
-    total: np.ndarray
-    kinds: np.ndarray
-    slope: float = 1.0
-    bias: float = 0.0
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """Per word: log-likelihood under the toxic model minus that under the ordinary one. The toxic
-        model mixes expressions of toxic texts into ordinary language, as toxic texts do."""
-        bucket, before, _ = prefixes(words)
-        live = bucket >= 0
-        n, m, f = (x.astype(np.float64) for x in (self.total[:, bucket], self.total[:, before], self.kinds[:, before]))
-        shared = (np.maximum(n[2] - DISCOUNT, 0) + DISCOUNT * f[2] / 64 + 0.01) / (m[2] + 0.64)
-        own = (np.maximum(n[:2] - DISCOUNT, 0) + (DISCOUNT * f[:2] + SHARED) * shared) / (m[:2] + SHARED)
-        logs = np.where(live, np.log(own), 0.0).sum(axis=2)
-        return np.log1p(SHARE * np.expm1(np.minimum(logs[1] - logs[0], 60.0)))
-
-    def score(self, ratio: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.bias, -500, 500)))
-
-
-def _counts(words: Counter, column: int) -> tuple[np.ndarray, ...]:
-    """(bucket, column, n, mask of next letters) of the expression tree of some counted words."""
-    names = list(words)
-    bucket, before, letter = prefixes(names)
-    live = bucket >= 0
-    weight = np.broadcast_to(np.array([words[w] for w in names], np.int64)[:, None], bucket.shape)[live]
-    at, where = np.unique(bucket[live], return_inverse=True)
-    n = np.bincount(where, weights=weight, minlength=len(at)).astype(np.int64)
-    pair = np.unique(before[live] * 64 + letter[live])
-    up, start = np.unique(pair // 64, return_index=True)
-    mask = np.bitwise_or.reduceat(np.uint64(1) << (pair % 64).astype(np.uint64), start).view(np.int64)
-    every = np.union1d(at, np.append(up, 0))
-    out_n, out_mask = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    out_n[np.searchsorted(every, at)] = n
-    out_mask[np.searchsorted(every, up)] = mask
-    out_n[np.searchsorted(every, 0)] += sum(words.values())  # the root is bucket 0
-    return every, np.full(len(every), column, np.int64), out_n, out_mask
-
-
-def count_table(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
-    """``(bucket, part, n, mask)`` over ``(doc_id, text)``: part 0 and 1 count the texts of each class,
-    part 2 every text, labelled or not. A text counts an expression once: what the lower orders see is
-    in how many contexts (texts) an expression stands, as Kneser-Ney continuation counts do."""
+        live = np.flatnonzero(lengths > k)
+        at = starts[live] + k
+        before[at] = state[live]
+        here[at] = state[live] = _mixed(state[live], code[at])
+    return word, before.view(np.int64), here.view(np.int64)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def text_chunks(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
+    """Chunks of ``(doc_id, text)``, a row for each: the ids, each text's number of distinct expressions
+    (``sizes``), their places in ``words`` and how often they occur, the chunk's distinct expressions,
+    and in how many texts of class 0, of class 1 and of all each stands."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classes)
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    types = {"chunk": pa.string(), "doc_id": pa.list_(id_type)}
+    types |= {c: pa.list_(pa.int32()) for c in ("sizes", "at", "n")} | {"words": pa.list_(pa.string())}
+    types |= {c: pa.list_(pa.int64()) for c in ("d0", "d1", "d2")}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(ids: list, bags: list[Counter]) -> pa.RecordBatch:
         known = shared.value
-        held = (Counter(), Counter(), Counter())
+        places: dict[str, int] = {}
+        at = [places.setdefault(w, len(places)) for bag in bags for w in bag]
+        sizes = [len(bag) for bag in bags]
+        kind = np.repeat(np.array([known.get(x, 2) for x in ids], np.int64), sizes)
+        where = np.array(at, np.int64)
+        d = [np.bincount(where[kind == k], minlength=len(places)) for k in (0, 1)] + [np.bincount(where, minlength=len(places))]
+        values = [uuid.uuid4().hex, ids, sizes, at, [n for bag in bags for n in bag.values()], list(places), *d]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types.values(), strict=True)], names=list(types))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bags, held = [], [], 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(name)
+                bags.append(Counter(expressions(text)))
+                held += len(text or "")
+                if len(ids) >= TEXTS or held >= LETTERS_HELD:
+                    yield row(ids, bags)
+                    ids, bags, held = [], [], 0
+        if ids:
+            yield row(ids, bags)
+
+    name = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"chunk string, doc_id array<{name}>, sizes array<int>, at array<int>, n array<int>, words array<string>, d0 array<long>, d1 array<long>, d2 array<long>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def word_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks of the distinct expressions of all texts, neighbours in their order, with the numbers of
+    texts they stand in: what the lower orders see is in how many contexts (texts) an expression
+    stands, as Kneser-Ney continuation counts do."""
+    counted = chunks.select(F.explode(F.arrays_zip("words", "d0", "d1", "d2")).alias("x")).groupBy(F.col("x.words").alias("word"))
+    counted = counted.agg(*[F.sum(f"x.{c}").alias(c) for c in ("d0", "d1", "d2")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = set(expressions(text))
-                    held[2].update(words)
-                    if (kind := known.get(name)) is not None:
-                        held[kind].update(words)
-            for part, words in enumerate(held):
-                if words and (batch is None or len(words) > HELD):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _counts(words, part)], names=["bucket", "part", "n", "mask"])
-                    words.clear()
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "bucket long, part long, n long, mask long")
-    return rows.groupBy("bucket", "part").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
-
-
-def mean_ratios(docs: DataFrame, model: Model, keep: list[str], only: set[int] | None = None) -> DataFrame:
-    """The columns ``keep`` and ``ratio``: the length-normalised log-likelihood ratio of the whole
-    ``text`` (0 without expressions); of ``only`` the named ids (the first column), if given."""
-    text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.total, model.kinds))
+                held.append(batch)
+            if held and (batch is None or sum(b.num_rows for b in held) >= WORDS):
+                whole = pa.Table.from_batches(held).combine_chunks()
+                lists = [pa.array([whole.column(c).to_pylist()]) for c in ("word", "d0", "d1", "d2")]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], names=["part", "words", "d0", "d1", "d2"])
+                held = []
+
+    schema = "part string, words array<string>, d0 array<long>, d1 array<long>, d2 array<long>"
+    return counted.repartitionByRange("word").mapInArrow(run, schema)
+
+
+def gram_table(parts: DataFrame) -> DataFrame:
+    """``(part, before, gram, n0, n1, n2)``: the distinct grams of each chunk of expressions, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = Model(*shared.value)
-        known: dict[str, float] = {}
         for batch in batches:
-            if only is not None:
-                batch = batch.filter(pa.array([x in only for x in batch.column(0).to_pylist()], pa.bool_()))
-            lists = [expressions(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            if len(known) > HELD:
-                known = {}
-            new = list({w for words in lists for w in words} - known.keys())
-            for i in range(0, len(new), 1 << 16):
-                part = new[i : i + (1 << 16)]
-                known.update(zip(part, local.ratios(part).tolist(), strict=True))
-            means = [sum(map(known.__getitem__, words)) / len(words) if words else 0.0 for words in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(means, pa.float64())], names=[*keep, "ratio"])
-
-    rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, ratio double")
+            for r in batch.to_pylist():
+                word, before, gram = grams(r["words"])
+                kinds, first, where = np.unique(gram, return_index=True, return_inverse=True)
+                n = [np.bincount(where, weights=np.array(r[c], np.int64)[word], minlength=len(kinds)).astype(np.int64) for c in ("d0", "d1", "d2")]
+                columns = [pa.array([r["part"]] * len(kinds), pa.string()), *map(pa.array, (before[first], kinds, *n))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "before", "gram", "n0", "n1", "n2"])
+
+    return parts.mapInArrow(run, "part string, before long, gram long, n0 long, n1 long, n2 long")
+
+
+def steps(counts: DataFrame) -> DataFrame:
+    """``(gram, step)``: log-likelihood of the gram's last letter under the toxic class minus that under
+    the ordinary one. Where neither class knows what stands before, both are the shared distribution."""
+    both = counts.groupBy("before", "gram").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+    sums = [F.sum(f"n{k}").alias(f"m{k}") for k in range(3)] + [F.count_if(F.col(f"n{k}") > 0).alias(f"f{k}") for k in range(3)]
+    contexts = both.groupBy("before").agg(*sums).where("m0 + m1 > 0")
+    met = both.join(contexts, "before")
+    left = lambda k: F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0))
+    met = met.withColumn("shared", (left(2) + DISCOUNT * F.col("f2") / 64 + 0.01) / (F.col("m2") + 0.64))
+    own = [(left(k) + (DISCOUNT * F.col(f"f{k}") + SHARED) * F.col("shared")) / (F.col(f"m{k}") + SHARED) for k in range(2)]
+    return met.select("gram", (F.ln(own[1]) - F.ln(own[0])).alias("step"))
+
+
+def word_ratios(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """``(word, ratio)`` from the chunks of expressions and ``(part, gram, step)``: log-likelihood of the
+    word under the toxic model minus that under the ordinary one. The toxic model mixes expressions of
+    toxic texts into ordinary language, as toxic texts do."""
+
+    def run(part: pa.Table, found: pa.Table) -> pa.Table:
+        words = part.column("words")[0].as_py()
+        word, _, gram = grams(words)
+        keys, values = found.column("gram").to_numpy(), found.column("step").to_numpy()
+        order = np.argsort(keys)
+        keys, values = np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], 0.0)
+        at = np.searchsorted(keys, gram)
+        logs = np.bincount(word, weights=np.where(keys[at] == gram, values[at], 0.0), minlength=len(words))
+        return pa.table({"word": pa.array(words, pa.string()), "ratio": np.log1p(SHARE * np.expm1(np.minimum(logs, 60.0)))})
+
+    return parts.select("part", "words").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "word string, ratio double")
+
+
+def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
+    """``(doc_id, ratio)`` of every row of ``(doc_id, text)``: the length-normalised log-likelihood ratio
+    of the whole text (0 without expressions), learnt from the ``classes`` of some ids.
+
+    Texts are read once. Expressions, grams and counts are tables, which grow with the texts, and each
+    step of the way back joins a chunk's distinct expressions or grams, so no pair of a text and an
+    expression is shuffled alone.
+    """
+    chunks = _written(text_chunks(docs, classes), "chunks")
+    parts = _written(word_chunks(chunks), "words")
+    met = _written(gram_table(parts), "grams")
+    known = met.select("part", "gram").join(steps(met), "gram")
+    ratios = word_ratios(parts, known)
+    wanted = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word")).join(ratios, "word").select("of", "place", "ratio")
+    name = docs.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        sizes, at, n = (np.array(chunk.column(c)[0].as_py(), np.int64) for c in ("sizes", "at", "n"))
+        ratio = np.zeros(found.num_rows)
+        ratio[found.column("place").to_numpy()] = found.column("ratio").to_numpy()
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.bincount(text, weights=ratio[at] * n, minlength=len(sizes))
+        total = np.bincount(text, weights=n, minlength=len(sizes))
+        return pa.table({"doc_id": pa.array(chunk.column("doc_id")[0].as_py(), id_type), "ratio": sums / np.maximum(total, 1)})
+
+    slim = chunks.select("chunk", "doc_id", "sizes", "at", "n")
+    return slim.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(run, f"doc_id {name}, ratio double")
 
 
 def calibrate(ratio: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -179,31 +228,23 @@ def fold(id_col: Column) -> Column:
     return (F.crc32(id_col.cast("string").cast("binary")) % 5).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> Model:
-    """Learn from the labelled rows of ``docs`` whose crc32(doc_id) mod 5 is not 0.
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]:
+    """``(doc_id, ratio)`` of every row, and slope and bias of its score, learnt from the labelled rows
+    of ``docs`` whose crc32(doc_id) mod 5 is not 0.
 
     Folds 1-3 give the class counts, fold 4 the calibration; all texts give the shared counts, without
     their labels. At most LABELLED_ROWS labels are used, so they can be looked up where the texts are
-    read, and no text is shuffled. The model that is gathered and broadcast has at most 3 x 2^BITS buckets.
+    read, and no text is shuffled.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    rows = known.toArrow().to_pylist()
-    learn = {r["doc_id"]: r["toxic"] for r in rows if r["fold"] != 4}
-    check = {r["doc_id"]: r["toxic"] for r in rows if r["fold"] == 4}
-    counts = count_table(docs, learn).select(
-        F.col("bucket").cast("int"), F.col("part").cast("byte"), F.col("n").cast("float"), F.bit_count("mask").cast("byte").alias("kinds")
-    )
-    model = Model(np.zeros((3, 1 << bits), np.float32), np.zeros((3, 1 << bits), np.uint8))
-    # Ten bytes a bucket reach the driver, one batch after the other.
-    for batch in counts.toArrow().to_batches():
-        bucket, part, n, kinds = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        model.total[part, bucket] = n
-        model.kinds[part, bucket] = kinds
-    pairs = mean_ratios(docs.where(fold(F.col("doc_id")) == 4), model, ["doc_id"], set(check)).toArrow().to_pylist()
-    ratio = np.array([r["ratio"] for r in pairs], float)
-    model.slope, model.bias = calibrate(ratio, np.array([check[r["doc_id"]] for r in pairs], float))
-    return model
+    rows = known.toArrow()
+    learn = {r["doc_id"]: r["toxic"] for r in rows.to_pylist() if r["fold"] != 4}
+    scored = _written(mean_ratios(docs, learn), "ratios")
+    check = docs.sparkSession.createDataFrame(rows, known.schema).where("fold = 4").select("doc_id", "toxic")
+    pairs = scored.join(check, "doc_id").select("ratio", "toxic").toArrow().to_pylist()
+    slope, bias = calibrate(np.array([r["ratio"] for r in pairs], float), np.array([r["toxic"] for r in pairs], float))
+    return scored, slope, bias
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -215,9 +256,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     classes the score is the class prior for every text.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(source, labels)
-    out = mean_ratios(source, model, ["doc_id"])
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(model.slope) * F.col("ratio") + F.lit(model.bias)))))
+    out, slope, bias = fit(source, labels)
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(slope) * F.col("ratio") + F.lit(bias)))))
     return out.select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), score.alias("score"),
         (score >= 0.5).cast("int").alias("predicted"),

@@ -103,6 +103,16 @@ def test_toxicity_without_labels(spark):
     assert toxicity(empty(spark), none).count() == 0
 
 
+def test_grams_do_not_collide():
+    from newsloom.llm.toxicity import grams
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 8))) for _ in range(600_000)]
+    prefixes = {w[:k] for w in names for k in range(1, len(w) + 1)} | {w + "\n" for w in names if len(w) < 8}
+    _, _, gram = grams(names)
+    assert len(set(gram.tolist())) == len(prefixes) > 1 << 20
+
+
 # ---- 2 SimHash
 
 
