@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from newsloom.llm.common import text_batches
+from newsloom.llm.common import text_batches, tidy_shuffles
 from newsloom.session import scratch_path
 
-#: Letters of an expression that are modelled; a shorter one ends with an end mark.
+#: Letters of a gram: a letter and those before it. Every letter and the end mark of an expression is modelled.
 DEPTH = 8
 #: Absolute discount and pseudo-count of the shared distribution.
 DISCOUNT, SHARED = 0.75, 0.5
@@ -46,15 +46,15 @@ def _mixed(state: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each modelled letter of each word: the word's index, and 64-bit hashes of what stands before
-    the letter and of both. What stands before a letter is the whole prefix."""
-    cut = [w[:DEPTH] for w in words]
-    lengths = np.array([min(len(w) + 1, DEPTH) for w in words], np.int64)
+    """For each letter of each word and its end mark: the word's index, and 64-bit hashes of what stands
+    before the letter and of both. What stands before a letter is the whole prefix, with the word's
+    start, for the first DEPTH letters, and the last DEPTH - 1 letters after that."""
+    lengths = np.array([len(w) + 1 for w in words], np.int64)
     starts = np.cumsum(lengths) - lengths
     word = np.repeat(np.arange(len(words)), lengths)
     code = np.full(len(word), END, np.uint64)
     place = np.arange(len(word)) - starts[word]
-    code[place < np.array([len(w) for w in cut], np.int64)[word]] = np.frombuffer("".join(cut).encode("utf-32-le"), np.uint32)
+    code[place < lengths[word] - 1] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     before, here = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
     state = np.ones(len(words), np.uint64)
     for k in range(DEPTH):
@@ -62,6 +62,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = starts[live] + k
         before[at] = state[live]
         here[at] = state[live] = _mixed(state[live], code[at])
+    far = np.flatnonzero(place >= DEPTH)
+    inner = np.full(len(far), 2, np.uint64)
+    for k in range(DEPTH - 1, 0, -1):
+        inner = _mixed(inner, code[far - k])
+    before[far] = inner
+    here[far] = _mixed(inner, code[far])
     return word, before.view(np.int64), here.view(np.int64)
 
 
@@ -76,9 +82,10 @@ def text_chunks(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     (``sizes``), their places in ``words`` and how often they occur, the chunk's distinct expressions,
     and in how many texts of class 0, of class 1 and of all each stands."""
     text_batches(docs.sparkSession)
+    tidy_shuffles(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    types = {"chunk": pa.string(), "doc_id": pa.list_(id_type)}
+    types = {"chunk": pa.int64(), "doc_id": pa.list_(id_type)}
     types |= {c: pa.list_(pa.int32()) for c in ("sizes", "at", "n")} | {"words": pa.list_(pa.string())}
     types |= {c: pa.list_(pa.int64()) for c in ("d0", "d1", "d2")}
 
@@ -90,7 +97,7 @@ def text_chunks(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
         kind = np.repeat(np.array([known.get(x, 2) for x in ids], np.int64), sizes)
         where = np.array(at, np.int64)
         d = [np.bincount(where[kind == k], minlength=len(places)) for k in (0, 1)] + [np.bincount(where, minlength=len(places))]
-        values = [uuid.uuid4().hex, ids, sizes, at, [n for bag in bags for n in bag.values()], list(places), *d]
+        values = [uuid.uuid4().int >> 65, ids, sizes, at, [n for bag in bags for n in bag.values()], list(places), *d]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types.values(), strict=True)], names=list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +114,7 @@ def text_chunks(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
             yield row(ids, bags)
 
     name = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk string, doc_id array<{name}>, sizes array<int>, at array<int>, n array<int>, words array<string>, d0 array<long>, d1 array<long>, d2 array<long>"
+    schema = f"chunk long, doc_id array<{name}>, sizes array<int>, at array<int>, n array<int>, words array<string>, d0 array<long>, d1 array<long>, d2 array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -126,10 +133,10 @@ def word_chunks(chunks: DataFrame) -> DataFrame:
             if held and (batch is None or sum(b.num_rows for b in held) >= WORDS):
                 whole = pa.Table.from_batches(held).combine_chunks()
                 lists = [pa.array([whole.column(c).to_pylist()]) for c in ("word", "d0", "d1", "d2")]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], names=["part", "words", "d0", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists], names=["part", "words", "d0", "d1", "d2"])
                 held = []
 
-    schema = "part string, words array<string>, d0 array<long>, d1 array<long>, d2 array<long>"
+    schema = "part long, words array<string>, d0 array<long>, d1 array<long>, d2 array<long>"
     return counted.repartitionByRange("word").mapInArrow(run, schema)
 
 
@@ -142,16 +149,17 @@ def gram_table(parts: DataFrame) -> DataFrame:
                 word, before, gram = grams(r["words"])
                 kinds, first, where = np.unique(gram, return_index=True, return_inverse=True)
                 n = [np.bincount(where, weights=np.array(r[c], np.int64)[word], minlength=len(kinds)).astype(np.int64) for c in ("d0", "d1", "d2")]
-                columns = [pa.array([r["part"]] * len(kinds), pa.string()), *map(pa.array, (before[first], kinds, *n))]
+                columns = [pa.array(np.full(len(kinds), r["part"]), pa.int64()), *map(pa.array, (before[first], kinds, *n))]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "before", "gram", "n0", "n1", "n2"])
 
-    return parts.mapInArrow(run, "part string, before long, gram long, n0 long, n1 long, n2 long")
+    return parts.mapInArrow(run, "part long, before long, gram long, n0 long, n1 long, n2 long")
 
 
 def steps(counts: DataFrame) -> DataFrame:
     """``(gram, step)``: log-likelihood of the gram's last letter under the toxic class minus that under
     the ordinary one. Where neither class knows what stands before, both are the shared distribution."""
-    both = counts.groupBy("before", "gram").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+    # One shuffle serves the grams, their contexts and the join of both.
+    both = counts.repartition("before").groupBy("before", "gram").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
     sums = [F.sum(f"n{k}").alias(f"m{k}") for k in range(3)] + [F.count_if(F.col(f"n{k}") > 0).alias(f"f{k}") for k in range(3)]
     contexts = both.groupBy("before").agg(*sums).where("m0 + m1 > 0")
     met = both.join(contexts, "before")
@@ -162,7 +170,7 @@ def steps(counts: DataFrame) -> DataFrame:
 
 
 def word_ratios(parts: DataFrame, known: DataFrame) -> DataFrame:
-    """``(word, ratio)`` from the chunks of expressions and ``(part, gram, step)``: log-likelihood of the
+    """``(word, ratio)`` from the chunks of expressions and ``(of, gram, step)``: log-likelihood of the
     word under the toxic model minus that under the ordinary one. The toxic model mixes expressions of
     toxic texts into ordinary language, as toxic texts do."""
 
@@ -176,7 +184,7 @@ def word_ratios(parts: DataFrame, known: DataFrame) -> DataFrame:
         logs = np.bincount(word, weights=np.where(keys[at] == gram, values[at], 0.0), minlength=len(words))
         return pa.table({"word": pa.array(words, pa.string()), "ratio": np.log1p(SHARE * np.expm1(np.minimum(logs, 60.0)))})
 
-    return parts.select("part", "words").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, "word string, ratio double")
+    return parts.select("part", "words").groupBy("part").cogroup(known.groupBy("of")).applyInArrow(run, "word string, ratio double")
 
 
 def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
@@ -189,9 +197,9 @@ def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     """
     chunks = _written(text_chunks(docs, classes), "chunks")
     parts = _written(word_chunks(chunks), "words")
-    met = _written(gram_table(parts), "grams")
-    known = met.select("part", "gram").join(steps(met), "gram")
-    ratios = word_ratios(parts, known)
+    # Grams are made again rather than written: they are many times as large as the expressions.
+    slopes = _written(steps(gram_table(parts).drop("part")), "steps")
+    ratios = _written(word_ratios(parts, gram_table(parts).select(F.col("part").alias("of"), "gram").join(slopes, "gram")), "expressions")
     wanted = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word")).join(ratios, "word").select("of", "place", "ratio")
     name = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)

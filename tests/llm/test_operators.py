@@ -103,12 +103,30 @@ def test_toxicity_without_labels(spark):
     assert toxicity(empty(spark), none).count() == 0
 
 
+def test_toxicity_reads_every_letter(spark):
+    from newsloom.llm.toxicity import toxicity
+
+    # Toxic and other compounds start alike, and differ far behind.
+    docs, labels = labelled()
+    ends = {"vileword": "grundstueckvileword", "nastyterm": "grundstuecknastyterm", "rudething": "grundstueckrudething"}
+    texts = []
+    for i, text in docs:
+        words = [ends.get(w, w) for w in text.split()]
+        texts.append((i, " ".join([*words, "grundstueckverkehr", "grundstuecksteuer", "grundstueckpreise"])))
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = {r.doc_id: r for r in toxicity(frame(spark, texts), frame(spark, labels, "doc_id long, quality int, toxic int")).collect()}
+    toxic = [got[i].predicted for i, _, t in labels if i in held and t]
+    other = [got[i].predicted for i, _, t in labels if i in held and not t]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(other) <= 0.05 * len(other)
+
+
 def test_grams_do_not_collide():
     from newsloom.llm.toxicity import grams
 
     rng = random.Random(4)
     names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 8))) for _ in range(600_000)]
     prefixes = {w[:k] for w in names for k in range(1, len(w) + 1)} | {w + "\n" for w in names if len(w) < 8}
+    prefixes |= {("", w[1:]) for w in names if len(w) == 8}  # the end mark after the last seven letters
     _, _, gram = grams(names)
     assert len(set(gram.tolist())) == len(prefixes) > 1 << 20
 
