@@ -481,6 +481,17 @@ def test_line_dedup(spark, monkeypatch, crowd):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_without_id(spark):
+    from newsloom.llm import line_dedup
+
+    line = [f"w{i}" for i in range(20)]
+    rows = [(7, " ".join(line)), (None, " ".join([*line[:19], "other"]) + "\nnothing like it")]
+    # Of the near copies inside a document without an id, the later goes too.
+    rows.append((None, "\n".join(" ".join([*(f"v{i}" for i in range(20)), x]) for x in ("first", "second"))))
+    got = {(r.doc_id, r.n_lines, tuple(r.removed)) for r in line_dedup.line_dedup(frame(spark, rows), whole=False).collect()}
+    assert got == {(7, 1, ()), (None, 2, (0,)), (None, 2, (1,))}
+
+
 # ---- 9 decontamination
 
 
