@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import non_blank, unescape_entities
+from newsloom.functions.text import decode_references, non_blank, unescape_entities
 
 COMMENT = "(?s)<!--.*?-->"
 IMG_TAG = r"""(?is)<img\b((?:[^>"']+|"[^"]*"|'[^']*')*+)>"""
@@ -32,7 +32,7 @@ def attribute(tag_body: Column, name: str) -> Column:
     names = F.transform(F.regexp_extract_all(tag_body, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
     values = F.regexp_extract_all(tag_body, F.lit(ATTRIBUTE), F.lit(2))
     value = F.get(values, (F.array_position(names, F.lit(name)) - 1).cast("int"))
-    return F.replace(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
+    return decode_references(F.regexp_replace(value, "^[\"']|[\"']$", ""), attribute=True)
 
 
 def _without_comments(html: Column) -> Column:

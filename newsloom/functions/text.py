@@ -6,6 +6,7 @@ import json
 import sys
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,18 +69,73 @@ def replace_all(text: Column, find: Column, repl: Column) -> Column:
     return F.replace(text, find, repl)
 
 
+@lru_cache(maxsize=1)
+def _named_references() -> tuple[str, str]:
+    """HTML's named references, from the standard library: as JSON by first letter and name (which keeps
+    look-ups short), and a pattern of the names that need no semicolon, the longest first."""
+    table: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        table.setdefault(name[0], {})[name] = value
+    loose = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(table), "|".join(loose)
+
+
+def _character(code: Column) -> Column:
+    """Character of a code point as HTML reads it: C1 controls are Windows-1252, and what is no
+    character is U+FFFD."""
+    western = [bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)]
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    listed = F.from_json(F.lit(json.dumps(western)), "array<string>")
+    wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(wrong, "\ufffd").when(code.between(0x80, 0x9F), F.get(listed, (code - 0x80).cast("int"))).otherwise(plain)
+
+
+def decode_references(text: Column, attribute: bool = False) -> Column:
+    """Decode named and numeric character references, each once, the longest name first.
+
+    A name without its semicolon counts where HTML allows that. In an attribute (``attribute``) it does
+    not if a letter, a digit or ``=`` follows, so ``?a=1&copy=2`` stays. Texts without ``&`` are passed
+    on as they are.
+    """
+    listed, loose = _named_references()
+    names = F.from_json(F.lit(listed), "map<string, map<string, string>>")
+    after = "(?![A-Za-z0-9=])" if attribute else ""
+
+    def value(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
+
+    def digits(part: Column, pattern: str) -> Column:
+        return F.regexp_extract(part, pattern, 1)
+
+    def one(part: Column) -> Column:
+        whole = F.regexp_extract(part, "^&([A-Za-z][A-Za-z0-9]*;)", 1)
+        short = F.regexp_extract(part, f"^&({loose}){after}", 1)
+        number = F.regexp_extract(part, "^&#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        sixteen, ten = digits(part, "^&#[xX]0*([0-9a-fA-F]*)"), digits(part, "^&#0*([0-9]*)")
+        # Codes too long for a character are none; they would not fit a number either.
+        code = (
+            F.when(number.rlike("^&#[xX]"), F.when(F.length(sixteen) > 6, F.lit(0)).when(sixteen == "", F.lit(0)).otherwise(F.conv(sixteen, 16, 10).cast("int")))
+            .otherwise(F.when((F.length(ten) > 7) | (ten == ""), F.lit(0)).otherwise(ten.cast("int")))
+        )
+
+        def rest(taken: Column, more: int) -> Column:
+            return F.substr(part, F.char_length(taken) + 1 + more)
+
+        return (
+            F.when(~part.startswith("&"), part)
+            .when(number != "", F.concat(_character(code), rest(number, 0)))
+            .when(value(whole).isNotNull(), F.concat(value(whole), rest(whole, 1)))
+            .when(short != "", F.concat(value(short), rest(short, 1)))
+            .otherwise(part)
+        )
+
+    def decoded(t: Column) -> Column:
+        return F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "(?=&)"), one), "")).otherwise(t)
+
+    # The text is an expression: as an array element it is worked out once.
+    return F.get(F.transform(F.array(text), decoded), F.lit(0))
+
+
 def unescape_entities(text: Column) -> Column:
-    """The named entities that occur in running text; ``&amp;`` goes last."""
-    for entity, char in (
-        ("&nbsp;", " "),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "'"),
-        ("&apos;", "'"),
-        ("&middot;", "·"),
-        ("&copy;", "©"),
-        ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decoded text of a page; a no-break space becomes a blank."""
+    return F.replace(decode_references(text), F.lit("\xa0"), F.lit(" "))

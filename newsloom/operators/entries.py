@@ -8,9 +8,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.dates import date_reader, read_date
 from newsloom.functions.links import normalize_link
 from newsloom.session import local_table
-from newsloom.sources.catalog import DEFAULT_WINDOW
+from newsloom.sources.catalog import DEFAULT_WINDOW, RFC822_OFFSET
 
 Clock = datetime | Column
 
@@ -20,28 +21,29 @@ def _moment(now: Clock) -> Column:
 
 
 def parse_published(text: Column, date_format: Column, now: Clock) -> Column:
-    """Feed date to timestamp: no text means ``now``; text that does not parse gives null.
+    """Feed date to timestamp by the provider's strptime format (none: RFC 822 with an offset). No text
+    means ``now``; text that does not parse gives null; an unknown directive in the format is an error."""
+    reader = date_reader(F.coalesce(date_format, F.lit(RFC822_OFFSET)))
+    return _published(text, reader, now)
 
-    The day name is cut first because the parser takes no text weekday. Providers whose format
-    ends in ``%Z`` write a zone name, the others a numeric offset.
-    """
-    bare = F.regexp_replace(F.trim(text), "^[A-Za-z]+, +", "")
-    named = F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z"))
-    offset = F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z"))
-    parsed = F.when(date_format.endswith("%Z"), named).otherwise(offset)
-    return F.when(text.isNull(), _moment(now)).otherwise(parsed)
 
+def _published(text: Column, reader: Column, now: Clock) -> Column:
+    return F.when(text.isNull(), _moment(now)).otherwise(read_date(text, reader))
 
-def dated(items: DataFrame, providers: DataFrame, now: Clock) -> DataFrame:
-    """Feed items with absolute link and parsed time (null time = to be quarantined)."""
-    formats = providers.select(
-        F.col("key").alias("provider_key"), F.col("url").alias("_base"), "date_format"
-    )
+
+def dated(items: DataFrame, providers: DataFrame, now: Clock, how: str = "inner") -> DataFrame:
+    """Feed items with absolute link and parsed time (null time = to be quarantined).
+
+    Items of unknown providers are left out; with ``how='left'`` they stay, without a time or a base.
+    Date formats are translated once per provider.
+    """
+    reader = date_reader(F.coalesce("date_format", F.lit(RFC822_OFFSET)))
+    formats = providers.select(F.col("key").alias("provider_key"), F.col("url").alias("_base"), reader.alias("_reader"))
     return (
-        items.join(formats, "provider_key")
+        items.join(formats, "provider_key", how)
         .withColumn("link", normalize_link(F.col("link"), F.col("_base")))
-        .withColumn("published_at", parse_published(F.col("published"), F.col("date_format"), now))
-        .drop("_base", "date_format")
+        .withColumn("published_at", F.when(F.col("_reader").isNotNull(), _published(F.col("published"), F.col("_reader"), now)))
+        .drop("_base", "_reader")
     )
 
 
