@@ -23,16 +23,18 @@ MIN_BLOCK_WORDS = 10
 MAX_LINK_DENSITY = 0.33
 
 
-def attribute(tag_body: Column, name: str) -> Column:
+def attribute(tag_body: Column, name: str, decode: bool = True) -> Column:
     """Value of one attribute inside a tag body; null when absent, '' when blank.
 
     Attributes are read as whole name/value tokens, so a name inside another quoted value is
-    never mistaken for the attribute itself.
+    never mistaken for the attribute itself. Character references are decoded unless the caller does
+    that (``decode``).
     """
     names = F.transform(F.regexp_extract_all(tag_body, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
     values = F.regexp_extract_all(tag_body, F.lit(ATTRIBUTE), F.lit(2))
     value = F.get(values, (F.array_position(names, F.lit(name)) - 1).cast("int"))
-    return decode_references(F.regexp_replace(value, "^[\"']|[\"']$", ""), attribute=True)
+    value = F.regexp_replace(value, "^[\"']|[\"']$", "")
+    return decode_references(value, attribute=True) if decode else value
 
 
 def _without_comments(html: Column) -> Column:
@@ -63,14 +65,14 @@ def meta_content(html: Column, *names: str) -> Column:
 
     def content_of(name: str) -> Column:
         def named(tag: Column) -> Column:
-            key = F.lower(F.coalesce(attribute(tag, "name"), attribute(tag, "property")))
+            key = F.lower(F.coalesce(attribute(tag, "name", False), attribute(tag, "property", False)))
             return F.coalesce(key == F.lit(name), F.lit(False))
 
-        value = attribute(F.try_element_at(F.filter(tags, named), F.lit(1)), "content")
+        value = attribute(F.try_element_at(F.filter(tags, named), F.lit(1)), "content", False)
         return non_blank(value)
 
     found = [content_of(name) for name in names]
-    return unescape_entities(F.coalesce(*found))
+    return unescape_entities(F.coalesce(*found), attribute=True)
 
 
 def visible_text(markup: Column) -> Column:

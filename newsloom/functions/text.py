@@ -118,15 +118,17 @@ def decode_references(text: Column, attribute: bool = False) -> Column:
             .otherwise(F.when((F.length(ten) > 7) | (ten == ""), F.lit(0)).otherwise(ten.cast("int")))
         )
 
+        def named(name: Column) -> Column:
+            """The part with its name decoded; null if there is no such name."""
+            return F.concat(value(name), rest(name, 1))
+
         def rest(taken: Column, more: int) -> Column:
             return F.substr(part, F.char_length(taken) + 1 + more)
 
         return (
             F.when(~part.startswith("&"), part)
             .when(number != "", F.concat(_character(code), rest(number, 0)))
-            .when(value(whole).isNotNull(), F.concat(value(whole), rest(whole, 1)))
-            .when(short != "", F.concat(value(short), rest(short, 1)))
-            .otherwise(part)
+            .otherwise(F.coalesce(named(whole), named(short), part))
         )
 
     def decoded(t: Column) -> Column:
@@ -136,6 +138,6 @@ def decode_references(text: Column, attribute: bool = False) -> Column:
     return F.get(F.transform(F.array(text), decoded), F.lit(0))
 
 
-def unescape_entities(text: Column) -> Column:
+def unescape_entities(text: Column, attribute: bool = False) -> Column:
     """Decoded text of a page; a no-break space becomes a blank."""
-    return F.replace(decode_references(text), F.lit("\xa0"), F.lit(" "))
+    return F.replace(decode_references(text, attribute), F.lit("\xa0"), F.lit(" "))

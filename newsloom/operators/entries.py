@@ -41,7 +41,7 @@ def dated(items: DataFrame, providers: DataFrame, now: Clock, how: str = "inner"
     formats = providers.select(F.col("key").alias("provider_key"), F.col("url").alias("_base"), reader.alias("_reader"))
     return (
         items.join(formats, "provider_key", how)
-        .withColumn("link", normalize_link(F.col("link"), F.col("_base")))
+        .withColumn("link", F.coalesce(normalize_link(F.col("link"), F.col("_base")), F.col("link")))
         .withColumn("published_at", F.when(F.col("_reader").isNotNull(), _published(F.col("published"), F.col("_reader"), now)))
         .drop("_base", "_reader")
     )
@@ -113,7 +113,7 @@ def distinct_links(entries: DataFrame) -> DataFrame:
     is repeated very often costs one row per input partition."""
     rest = [c for c in entries.columns if c not in ("link", "published_at", "provider_key")]
     ranked = F.struct("published_at", "provider_key", *[F.col(c) for c in rest])
-    key = F.struct("published_at", "provider_key", *[F.col(c) for c in rest if c in ("item_no", "title")])
+    key = F.struct("published_at", "provider_key", *[F.col(c) for c in rest if c in ("item_no", "title", "summary", "image_urls")])
     best = F.min_by(ranked, key).alias("_e")
     return entries.groupBy("link").agg(best).select("link", "_e.*").select(*entries.columns)
 

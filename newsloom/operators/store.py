@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.session import numbered, pinned
+from newsloom.sources import snapshots
 
 
 def _newest_first() -> list[Column]:
@@ -113,7 +114,9 @@ def one_per_url(articles: DataFrame) -> DataFrame:
     row = F.struct("published_at", "news_provider_key", *[
         c for c in articles.columns if c not in ("url", "published_at", "news_provider_key")
     ])
-    best = F.min_by(row, F.struct("published_at", "news_provider_key", "title")).alias("_a")
+    # A total order on what rows of one URL differ in; of rows alike in all of it any will do.
+    rest = [c for c in ("title", "summary", "content", "id") if c in articles.columns]
+    best = F.min_by(row, F.struct("published_at", "news_provider_key", *rest)).alias("_a")
     return articles.groupBy("url").agg(best).select("url", "_a.*").select(*articles.columns)
 
 
@@ -161,6 +164,12 @@ def _reserve_ids(spark: SparkSession, path: str, count: int) -> int:
     return last + 1
 
 
+def booked_id(spark: SparkSession, path: str) -> int:
+    """Largest id that was booked for the article table (0: none)."""
+    book = f"{path.rstrip('/')}_ids"
+    return (spark.read.parquet(book).agg(F.max("last")).first()[0] or 0) if path_exists(spark, book) else 0
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path).schema  # noqa: B018  the reader looks the path up
@@ -179,7 +188,7 @@ def split_new_existing(existing: DataFrame, incoming: DataFrame) -> tuple[DataFr
 def upsert_providers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Insert new keys and overwrite the columns that ``incoming`` has for existing ones. Rows and
     columns missing from the input stay as they are (null for a new key). A key that comes in twice
-    is an error. The caller writes the result to a new path and swaps it in."""
+    is an error. ``upsert_catalogue`` stores the result."""
     given = [c for c in incoming.columns if c != "key"]
     kept = [c for c in existing.columns if c != "key"]
     row = F.min(F.struct(*given))
@@ -196,6 +205,57 @@ def upsert_providers(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return met.select("key", *[merged(c) for c in dict.fromkeys([*kept, *given])])
 
 
+def upsert_catalogue(incoming: DataFrame, path: str) -> int:
+    """Upsert into the versioned catalogue below ``path`` (made if absent); returns the new version.
+
+    The new version is published once it is written whole. If the input is wrong or the write dies, the
+    version before stays the latest; if another writer was faster, this is an error and nothing changes.
+    """
+    spark = incoming.sparkSession
+    version = snapshots.latest(spark, path) or 0
+    existing = snapshots.read_snapshot(spark, path, version) if version else incoming.limit(0)
+    return snapshots.write_snapshot(upsert_providers(existing, incoming), path, after=version)
+
+
+# -- history -------------------------------------------------------------------------------------
+
+
+def _with_previous(df: DataFrame, by: str, order: str, value: str, out: str) -> DataFrame:
+    """``value`` of the row before, by ``order`` within ``by``, without a group in one task: ranges of
+    rows look at their own, and the first row of a range at the last one of the range before it."""
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pinned(df.repartitionByRange(slices, by, order).withColumn("_slice", F.spark_partition_id()))
+    own = Window.partitionBy(by, "_slice").orderBy(order)
+    ends = placed.groupBy(by, "_slice").agg(F.max_by(value, order).alias("_last"))
+    ends = ends.select(by, "_slice", F.lag("_last").over(Window.partitionBy(by).orderBy("_slice")).alias("_before"))
+    local = placed.withColumn("_own", F.lag(value).over(own)).withColumn("_first", F.row_number().over(own) == 1)
+    return local.join(ends, [by, "_slice"]).withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_own"))).drop(
+        "_slice", "_own", "_first", "_before"
+    )
+
+
+def article_versions(seen: DataFrame, columns: Sequence[str] = ("title", "content")) -> DataFrame:
+    """Versions of articles from seen[url, seen_at, …]: ``url, version, valid_from, valid_to, altered`` and
+    the ``columns``, whose values tell versions apart.
+
+    A version begins when an article is first seen with other values than at its sight before; a text
+    that comes back begins a new version. ``valid_to`` is the start of the next one (null: still
+    valid), ``altered`` names the columns that changed. Sights of one URL at one time count once, the
+    least values first; rows without url or time are left out.
+    """
+    at = seen.where("url IS NOT NULL AND seen_at IS NOT NULL").groupBy("url", "seen_at").agg(F.min(F.struct(*columns)).alias("now"))
+    at = at.withColumn("state", F.struct("seen_at", "now"))
+    with_last = _with_previous(at, "url", "seen_at", "state", "last")
+    begun = with_last.where(F.col("last").isNull() | ~F.col("now").eqNullSafe(F.col("last.now")))
+    changed = [F.when(F.col("last").isNotNull() & ~F.col(f"now.{c}").eqNullSafe(F.col(f"last.now.{c}")), F.lit(c)) for c in columns]
+    begun = begun.select("url", F.col("seen_at").alias("valid_from"), "now", F.array_compact(F.array(*changed)).alias("altered"))
+    # Looking ahead is looking back in reverse.
+    back = begun.withColumn("_back", -F.unix_micros("valid_from"))
+    back = _with_previous(back, "url", "_back", "valid_from", "valid_to").drop("_back")
+    placed = numbered(back, [F.asc("valid_from")], by=("url",), out="version", start=1)
+    return placed.select("url", "version", "valid_from", "valid_to", "altered", *[F.col(f"now.{c}").alias(c) for c in columns])
+
+
 # -- votes ---------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from newsloom.session import pinned
 from newsloom.sources import snapshots
 
 #: Buckets of a new index; an index keeps the number that it was made with.
-BUCKETS = 256
+BUCKETS = 64
 #: Links of a tick that are sent to where the buckets are read; more of them are joined by a shuffle.
 FEW = 100_000
 #: Appended files of a bucket that make the index worth compacting.

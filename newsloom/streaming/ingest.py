@@ -53,15 +53,18 @@ def run_ingest(
 ) -> StreamingQuery:
     """Start the endless ingest; ``every=None`` processes what is there and stops.
 
-    A batch that is replayed after a crash adds nothing twice: its links are found in the store.
+    A batch that is replayed after a crash adds nothing twice: its links are found in the index, and its
+    quarantine and counts replace those of the first attempt (batches are named by the query and their
+    number). Inputs given as functions are read again for every batch (``plans.ingest.living``).
     ``cluster`` also evolves the cluster run after each batch, at the batch's newest fetch time;
     the options are those of ``plans.runs.evolve_run``.
     """
 
-    def process(batch: DataFrame, _batch_id: int) -> None:
+    def process(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        ingest.tick(batch, inputs, path)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        ingest.run_tick(batch, inputs, path, batch=f"{query}-{number:012d}")
         if cluster:
             at = batch.agg(F.max("fetched_at")).first()[0]
             ingest.cluster_tick(batch.sparkSession, path, F.lit(at), titles, **options)
