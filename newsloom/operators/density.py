@@ -16,7 +16,7 @@ makes a block larger.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +187,48 @@ def core_distance(points: DataFrame, k: int = 2, block_rows: int = BLOCK_ROWS) -
     return nearest(points, k, block_rows).select("run_key", "id", core).where("core IS NOT NULL")
 
 
+def _projected(tables: int, bits: int, seed: int):
+    """Each point once a table, with the sides of random hyperplanes that it lies on as its code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([batch])
+            x = _vectors(whole)
+            planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
+            # Summed in a fixed order: a point's code must not depend on its batch.
+            sides = np.einsum("ij,jk->ik", x, planes, optimize=False) > 0
+            weights = 1 << np.arange(bits, dtype=np.int64)
+            for t in range(tables):
+                code = sides[:, t * bits : (t + 1) * bits] @ weights
+                bucket = pa.array(code.astype(np.int64))
+                yield from whole.append_column("table", pa.array(np.full(len(code), t, np.int32))).append_column("code", bucket).to_batches()
+
+    return run
+
+
+def approximate_nearest(
+    points: DataFrame, k: int, tables: int = 8, bits: int = 4, seed: int = 1, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """As ``nearest``, but only points that share a bucket are compared: a stated approximation.
+
+    ``tables`` times, ``bits`` random hyperplanes through the origin cut the space into buckets; two
+    vectors at an angle a share one with probability 1 - (1 - (1 - a / pi)^bits)^tables. Distances are
+    exact, and every true neighbour that is met is returned; one that is met in no table is missing, and
+    points without company have no row. Work falls to about tables / 2^bits of the exact join's. Buckets
+    of any size are cut into blocks like run keys, so copies of one vector don't fill a task.
+    """
+    keyed = _keyed(points)
+    kind = keyed.schema["embedding"].dataType.simpleString()
+    buckets = keyed.mapInArrow(_projected(tables, bits, seed), f"run_key string, id bigint, embedding {kind}, table int, code bigint")
+    bucket = F.to_json(F.struct("run_key", "table", "code"))
+    found = nearest(buckets.select(bucket.alias("run_key"), "id", "embedding"), k, block_rows)
+    pairs = found.select(F.get_json_object("run_key", "$.run_key").alias("run_key"), "id", F.explode("nearest").alias("n")).distinct()
+    # At most k rows a table for each point.
+    return pairs.groupBy("run_key", "id").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("nearest"))
+
+
 # -- spanning tree ---------------------------------------------------------------------------------
 
 

@@ -119,12 +119,7 @@ class _Elements(HTMLParser):
         return -1
 
 
-def select_image(html: str, selector: str) -> str | None:
-    """Value picked by ``a >> b@attr | c@attr``: ``>>`` narrows to the first match inside the
-    previous one, the first alternative whose element exists decides, ``:first`` takes the first
-    URL of a srcset."""
-    page = _Elements()
-    page.feed(html)
+def _picked(page: _Elements, selector: str) -> str | None:
     for alternative in selector.split(" | "):
         path, _, attr = alternative.strip().partition("@")
         attr, _, first_of_set = attr.partition(":")
@@ -141,24 +136,47 @@ def select_image(html: str, selector: str) -> str | None:
     return None
 
 
+def select_image(html: str, selector: str) -> str | None:
+    """Value picked by ``a >> b@attr | c@attr``: ``>>`` narrows to the first match inside the
+    previous one, the first alternative whose element exists decides, ``:first`` takes the first
+    URL of a srcset."""
+    page = _Elements()
+    page.feed(html)
+    return _picked(page, selector)
+
+
 def page_images(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Image URLs of pages[url, provider_key, html] whose provider has a page rule.
+    """``url, image_urls`` of pages[url, provider_key, html] whose provider has page rules.
 
-    Only those pages cross into Python, in Arrow batches.
+    A provider's page rules fold into one ordered list, so a page is joined, sent to Python (in Arrow
+    batches) and parsed once, and gives one row with the images of its rules in their ``order``. What a
+    rule picks is rewritten (``find``, ``repl``, ``first_only``) and then made absolute (``prefix``), as
+    with feed rules; rules that pick nothing add nothing, and an image that several pick is listed once.
     """
-    wanted = rules.where("source = 'page'").select("provider_key", "selector", "prefix")
+    fields = ["order", "selector", "find", "repl", "first_only", "prefix"]
+    wanted = rules.where("source = 'page'").groupBy("provider_key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rules"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            picked = [select_image(h or "", s) for h, s in zip(batch["html"], batch["selector"])]
-            yield pd.DataFrame({"url": batch["url"], "prefix": batch["prefix"], "picked": picked})
+            picked = []
+            for html, selectors in zip(batch["html"], batch["selectors"]):
+                page = _Elements()
+                page.feed(html or "")
+                picked.append([_picked(page, s) for s in selectors])
+            yield pd.DataFrame({"url": batch["url"], "provider_key": batch["provider_key"], "picked": picked})
 
     found = (
         pages.join(wanted, "provider_key")
-        .select("url", "html", "selector", "prefix")
-        .mapInPandas(pick, "url string, prefix string, picked string")
-    )
-    image = F.when(F.col("prefix").isNull(), F.col("picked")).otherwise(
-        absolutize(F.col("picked"), F.col("prefix"))
+        .select("url", "provider_key", "html", F.col("_rules.selector").alias("selectors"))
+        .mapInPandas(pick, "url string, provider_key string, picked array<string>")
     )
-    return found.select("url", _single(image).alias("image_urls"))
+
+    def image(pair: Column) -> Column:
+        rule = pair["_rules"]
+        url = F.get(rewritten(_single(pair["picked"]), rule["find"], rule["repl"], rule["first_only"]), F.lit(0))
+        return F.when(rule["prefix"].isNull(), url).otherwise(absolutize(url, rule["prefix"]))
+
+    # The rules are few and were folded for the join already; they come back by the provider.
+    images = F.transform(F.arrays_zip("_rules", "picked"), image)
+    urls = F.array_distinct(F.filter(images, lambda u: u.isNotNull() & (u != "")))
+    return found.join(wanted, "provider_key").select("url", urls.alias("image_urls"))

@@ -229,30 +229,30 @@ def latest_articles(v):
     return store.latest(v.articles().select("id", "title", "published_at"), 100).withColumn("published_at", as_text("published_at"))
 
 
-@check("articles_since", "articles stories story_clock", f"""
-SELECT id, title, {PUBLISHED} AS published_at FROM articles JOIN embeddings ON vec_id = id, story_clock
-WHERE published_at > now - INTERVAL 36 HOUR ORDER BY articles.published_at DESC, id LIMIT 60""")
+@check("articles_since", "articles clock", f"""
+SELECT id, title, {PUBLISHED} AS published_at FROM articles, clock
+WHERE published_at > now - INTERVAL 36 HOUR """)
 def articles_since(v):
-    out = store.articles_since(v.articles_with_vectors(), v.story_now() - F.lit(timedelta(hours=36)), 60)
+    out = store.articles_since(v.articles().join(v.vectors(), "id", "left"), v.now() - F.lit(timedelta(hours=36)))
     return out.select("id", "title", as_text("published_at").alias("published_at"))
 
 
 @check("window_cap", "articles", f"""
 SELECT id, {PUBLISHED} AS published_at FROM
- (SELECT id, published_at, 0 AS src FROM articles WHERE id % 2 = 0
-  UNION ALL SELECT id + 1000000, published_at, 1 FROM articles WHERE id % 3 = 0)
+ (SELECT id, published_at, 0 AS src FROM articles WHERE id % 3 <> 1
+  UNION ALL SELECT id + 1000000, published_at, 1 FROM articles WHERE id % 3 <> 0)
 ORDER BY published_at DESC, src, id LIMIT 150""".replace("ORDER BY published_at", "AS x ORDER BY x.published_at"))
 def window_cap(v):
     a = v.articles().select("id", "published_at")
-    new = a.where("id % 3 = 0").withColumn("id", F.col("id") + 1000000)
-    return store.window_cap(a.where("id % 2 = 0"), new, 150).withColumn("published_at", as_text("published_at"))
+    new = a.where("id % 3 <> 0").withColumn("id", F.col("id") + 1000000)
+    return store.window_cap(a.where("id % 3 <> 1"), new, 150).withColumn("published_at", as_text("published_at"))
 
 
 @check("chain", "articles", """
-SELECT id FROM articles WHERE id % 2 = 0 UNION ALL SELECT id FROM articles WHERE id % 3 = 0""")
+SELECT id FROM articles WHERE id % 3 <> 1 UNION ALL SELECT id FROM articles WHERE id % 3 <> 0""")
 def chain(v):
     a = v.articles().select("id")
-    return store.chain(a.where("id % 2 = 0"), a.where("id % 3 = 0"))
+    return store.chain(a.where("id % 3 <> 1"), a.where("id % 3 <> 0"))
 
 
 @check("clustered_count", "articles", "SELECT count(cluster_id) AS clustered FROM articles")

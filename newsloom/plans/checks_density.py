@@ -23,6 +23,20 @@ def nearest_neighbours(v):
     )
 
 
+@check("approximate_neighbours", "", "SELECT count(*) AS points, count(*) * 3 AS neighbours, true AS recalled FROM embeddings")
+def approximate_neighbours(v):
+    """Share of the three exact neighbours that the approximate form finds: 0.9 and more."""
+    def pairs(df):
+        return df.select("id", F.explode("nearest.id").alias("other"))
+
+    exact = pairs(D.nearest(v.vectors(), 3))
+    met = pairs(D.approximate_nearest(v.vectors(), 3, tables=16, bits=3)).withColumn("met", F.lit(1))
+    counted = exact.join(met, ["id", "other"], "left").agg(
+        F.countDistinct("id").alias("points"), F.count("*").alias("neighbours"), (F.count("met") / F.count("*") >= 0.9).alias("recalled")
+    )
+    return counted
+
+
 @check("core_distance", "", PAIRS_SQL + "SELECT id, round(d, 6) AS core FROM pairs WHERE place = 2")
 def core_distance(v):
     return D.core_distance(v.vectors()).select("id", F.round("core", 6).alias("core"))

@@ -261,6 +261,26 @@ def page_images(v):
     return images.page_images(pages, frame).select("url", F.array_join("image_urls", " ").alias("images"))
 
 
+@check("page_image_rules", "", """
+SELECT url, 'https://host.example/small/' || page_id || '/small.jpg https://host.example/big/' || page_id || '/small.jpg'
+            || CASE WHEN page_id % 2 = 0 THEN ' ' || url || '/lead.jpg' ELSE '' END AS images FROM pages""")
+def page_image_rules(v):
+    """Four rules of one provider on each page: in order, rewritten everywhere or once, made absolute, repeated."""
+    n = F.col("page_id").cast("string")
+    figure = F.concat(
+        F.lit('<div class="box"><i data-href="/big/'), n, F.lit('/big.jpg"></i></div>'),
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<figure class="lead"><img src="'), "url", F.lit('/lead.jpg"></figure>'))).otherwise(F.lit("")),
+    )
+    pages = v.table("pages").select("url", F.lit("kind0").alias("provider_key"), F.concat("html", figure).alias("html"))
+    rules = [
+        ("kind0", "page", "figure.lead >> img@src", None, None, False, None, 3),
+        ("kind0", "page", ".box >> i@data-href", "/big.jpg", "/small.jpg", True, "https://host.example", 2),
+        ("kind0", "page", ".box >> i@data-href", "big", "small", False, "https://host.example", 1),
+        ("kind0", "page", "figure.lead >> img@src", None, None, False, None, 4),
+    ]
+    return images.page_images(pages, catalog.image_rules(v.spark, rules)).select("url", F.array_join("image_urls", " ").alias("images"))
+
+
 @check("parse_published", "articles", f"SELECT id, {PUBLISHED} AS published_at FROM articles")
 def parse_published(v):
     zone = F.when(F.col("id") % 2 == 0, F.lit("%a, %d %b %Y %H:%M:%S %z")).otherwise(F.lit("%a, %d %b %Y %H:%M:%S %Z"))

@@ -182,3 +182,54 @@ def stream_silence_alerts(v):
     query.trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start().awaitTermination()
     last = v.log().where(F.col("message").rlike(PATTERN)).agg(F.max("ts")).scalar()
     return v.spark.read.parquet(f"{path}/out").where(F.col("last_success") < last).select("service", "fires_at")
+
+
+RULES = (alerts.Rule("short"), alerts.Rule("long", window=60 * 60, hold=10 * 60))
+
+# Four services of which the last never succeeds, and one that never logs a line.
+ABSENCE_SQL = """
+, lines AS (SELECT ts, 'svc-' || (user_id % 4) AS service, event_type = 'click' AND user_id % 4 <> 3 AS ok
+            FROM (SELECT CAST(ts AS TIMESTAMP) AS ts, user_id, event_type FROM events)),
+starts AS (SELECT service, (SELECT min(ts) FROM lines) AS began, false AS seen FROM (SELECT DISTINCT service FROM lines UNION ALL SELECT 'svc-9')),
+marks AS (SELECT service, min(ts) AS began, true AS seen FROM lines WHERE ok GROUP BY service, date_trunc('minute', ts) UNION ALL SELECT * FROM starts),
+spans AS (SELECT *, lead(began) OVER (PARTITION BY service ORDER BY began, seen) AS until FROM marks),
+rules AS (SELECT * FROM (VALUES ('short', 1200, 300), ('long', 3600, 600)) AS r(rule, width, hold)),
+due AS (SELECT *, CAST(ceil((epoch_us(began) + width * 1000000::BIGINT) / 60e6) * 60 AS BIGINT) + hold AS fires_at FROM spans, rules)
+SELECT service, rule, CASE WHEN seen THEN strftime(began, '%Y-%m-%d %H:%M:%S') END AS last_success, fires_at FROM due
+WHERE epoch_us(coalesce(until, (SELECT max(ts) - INTERVAL 5 MINUTE FROM lines))) > fires_at * 1000000"""
+
+
+def service_log(v):
+    """The events as lines of four services, one of which never succeeds; the services, and one that never logs."""
+    kind = F.col("user_id") % 4
+    ok = (F.col("event_type") == "click") & (kind != 3)
+    log = v.table("events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("svc-"), kind.cast("string")).alias("service"),
+        F.when(ok, F.lit("tick done: 3 articles stored")).otherwise(F.lit("tick")).alias("message"),
+    )
+    silent = v.spark.createDataFrame([("svc-9",)], "service string")
+    since = log.agg(F.min("ts").alias("since"))
+    return log, log.select("service").distinct().unionByName(silent).join(since)
+
+
+@check("absence_periods", "log", ABSENCE_SQL)
+def absence_periods(v):
+    """Silences of listed services by two rules, from the whole log."""
+    log, services = service_log(v)
+    return alerts.absence_periods(log, PATTERN, services, RULES).withColumn("last_success", as_text("last_success"))
+
+
+@check("stream_absence_alerts", "log", ABSENCE_SQL)
+def stream_absence_alerts(v):
+    """The same through state timers, while the log lands in time order."""
+    path = scratch_path(v.spark, "absence")
+    log, services = service_log(v)
+    share = F.floor(F.unix_seconds("ts") / (8 * 86400))
+    for part in [row[0] for row in log.select(share.alias("part")).distinct().orderBy("part").collect()]:
+        log.where(share == part).write.mode("append").parquet(f"{path}/log")
+    stream = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    with alerts.rocksdb(v.spark):
+        query = alerts.absence_alerts(stream, PATTERN, services, RULES).writeStream.outputMode("append")
+        query = query.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        query.format("parquet").option("path", f"{path}/out").start().awaitTermination()
+    return v.spark.read.parquet(f"{path}/out").withColumn("last_success", as_text("last_success"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.operators.monitor import MINUTE
@@ -79,3 +83,142 @@ def silence_alerts(
     return beats.groupBy("service").applyInPandasWithState(
         follow, ALERT, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+# -- absence of success, for listed services ---------------------------------------------------------
+
+ABSENCE = "service string, rule string, last_success timestamp, fires_at bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """An alert that fires when no success was seen for ``window`` and then ``hold`` seconds."""
+
+    name: str
+    window: int = 20 * MINUTE
+    hold: int = 5 * MINUTE
+    every: int = MINUTE
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Start a query that ``transformWithState`` needs its state store for; the session's own is put back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def _absence(rules: Sequence[Rule]) -> StatefulProcessor:
+    """The state of one service. The class is made here so that it travels with its code: the process on the
+    driver that sets the state up does not have this package."""
+    listed = [(r.name, r.window, r.hold, r.every) for r in rules]
+
+    def due_at(at_us: int) -> list[tuple[str, int]]:
+        return [(n, -(-(at_us + w * 1_000_000) // (e * 1_000_000)) * e + h) for n, w, h, e in listed]
+
+    class Absence(StatefulProcessor):
+        """Per service: the last success (or the start of the watch), and which rules fired since then."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "at bigint, seen boolean")
+            self.fired = handle.getValueState("fired", "rules array<string>")
+
+        def close(self) -> None:
+            pass
+
+        def _begin(self, at: int, seen: bool) -> None:
+            self.last.update((at, seen))
+            self.fired.update(([],))
+            for expiry in [int(t) for t in self.handle.listTimers()]:
+                self.handle.deleteTimer(expiry)
+            for expiry in {due * 1000 + 1 for _, due in due_at(at)}:
+                self.handle.registerTimer(expiry)
+
+        def _due(self, service: str, until: float) -> Iterator[pd.DataFrame]:
+            """Alerts of the rules whose time lies before ``until`` (seconds) and that did not fire yet."""
+            at, seen = self.last.get()
+            fired = list(self.fired.get()[0])
+            now = [(rule, due) for rule, due in due_at(at) if rule not in fired and due < until]
+            if now:
+                self.fired.update((fired + [rule for rule, _ in now],))
+                n = len(now)
+                yield pd.DataFrame(
+                    {
+                        "service": [service] * n,
+                        "rule": [rule for rule, _ in now],
+                        "last_success": [pd.Timestamp(at, unit="us") if seen else pd.NaT] * n,
+                        "fires_at": [due for _, due in now],
+                    }
+                )
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            since = initialState["since"].astype("datetime64[us]").astype("int64")
+            self._begin(int(since.iloc[0]), False)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            times = sorted(t for b in rows for t in b.loc[b["success"], "ts"].astype("datetime64[us]").astype("int64"))
+            for at in map(int, times):
+                if not self.last.exists():
+                    self._begin(at, True)
+                elif at > self.last.get()[0]:
+                    yield from self._due(key[0], at / 1_000_000)
+                    self._begin(at, True)
+                elif not self.last.get()[1]:
+                    self._begin(max(at, self.last.get()[0]), True)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.last.exists():
+                yield from self._due(key[0], expiredTimerInfo.getExpiryTimeInMs() / 1000)
+
+    return Absence()
+
+
+def absence_alerts(
+    log: DataFrame, pattern: str, services: DataFrame, rules: Sequence[Rule], lateness: str = "5 minutes"
+) -> DataFrame:
+    """One row per rule and silence that lasts through its window and hold: ``service, rule, last_success,
+    fires_at``.
+
+    ``services[service, since]`` are watched from ``since`` on, whether or not they ever log a line, so a
+    service that never succeeds fires too (with no ``last_success``); others from their first success.
+    Lines shrink to one success and one other line per service and minute before they reach the state.
+    Start the query within ``rocksdb``.
+    """
+    beats = (
+        log.select("ts", "service", F.col("message").rlike(pattern).alias("success"), F.date_trunc("minute", "ts").alias("minute"))
+        .withWatermark("ts", lateness)
+        .dropDuplicatesWithinWatermark(["service", "success", "minute"])
+    )
+    start = services.groupBy("service").agg(F.min("since").alias("since"))
+    return beats.groupBy("service").transformWithStateInPandas(
+        _absence(rules), ABSENCE, "append", "eventTime", initialState=start.groupBy("service")
+    )
+
+
+def absence_periods(
+    log: DataFrame, pattern: str, services: DataFrame, rules: Sequence[Rule], lateness: timedelta = timedelta(minutes=5)
+) -> DataFrame:
+    """The same silences from a finished log: those that a success ends after they fire, and those that
+    lie ``lateness`` behind the newest line. A window over the successes of each service and minute."""
+    hits = log.where(F.col("message").rlike(pattern)).groupBy("service", F.date_trunc("minute", "ts").alias("_minute"))
+    first = hits.agg(F.min("ts").alias("at")).drop("_minute").withColumn("seen", F.lit(True))
+    known = services.groupBy("service").agg(F.min("since").alias("at")).withColumn("seen", F.lit(False))
+    by_time = Window.partitionBy("service").orderBy("at", "seen")
+    spans = first.unionByName(known).withColumn("until", F.lead("at").over(by_time))
+    newest = log.agg((F.max("ts") - F.lit(lateness)).alias("newest"))
+    listed = F.array(*[F.struct(F.lit(r.name).alias("rule"), *[F.lit(getattr(r, c)).alias(c) for c in ("window", "hold", "every")]) for r in rules])
+    out = spans.crossJoin(newest).select("*", F.inline(listed))  # one row against all: no pairs
+    micros = F.lit(1_000_000).cast("bigint")
+    tick = F.ceil((F.unix_micros("at") + F.col("window") * micros) / (F.col("every") * micros)) * F.col("every") + F.col("hold")
+    out = out.withColumn("fires_at", tick.cast("bigint"))
+    ended = F.unix_micros(F.coalesce("until", "newest")) > F.col("fires_at") * micros
+    return out.where(ended).select("service", "rule", F.when(F.col("seen"), F.col("at")).alias("last_success"), "fires_at")
