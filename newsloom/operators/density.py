@@ -1,6 +1,6 @@
 """Density clustering of embeddings: core distances, spanning tree, leaf clusters.
 
-Contract (min_samples = k, min_cluster_size = 2, leaf selection, merge distance eps): core distance
+Contract (min_samples = k, min_cluster_size, leaf selection, merge distance eps): core distance
 is the distance to the k-th nearest other point; an edge weighs max(core, core, distance); edges are
 ordered by (weight, lower id, higher id), which makes the spanning tree unique.
 
@@ -357,14 +357,16 @@ def _finish_tree(table: pa.Table) -> pa.Table:
 LEAF = "run_key string, id bigint, cluster bigint"
 
 
-def leaf_clusters(tree: DataFrame, epsilon: float = 0.2, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def leaf_clusters(
+    tree: DataFrame, epsilon: float = 0.2, local_edges: int = LOCAL_EDGES, min_cluster_size: int = 2
+) -> DataFrame:
     """(run_key, id, cluster) of the clustered points; ``cluster`` is its smallest member."""
 
     def local(table: pa.Table) -> pa.Table:
-        return _read_leaves(table, epsilon)
+        return _read_clusters(table, epsilon, min_cluster_size)
 
     def spread(edges: DataFrame) -> DataFrame:
-        return _spread_leaves(edges, epsilon)
+        return _spread_leaves(edges, epsilon, min_cluster_size)
 
     return _by_run(tree, local, spread, LEAF, local_edges)
 
@@ -405,6 +407,73 @@ def _read_leaves(table: pa.Table, epsilon: float) -> pa.Table:
     )
 
 
+def _read_clusters(table: pa.Table, epsilon: float, least: int) -> pa.Table:
+    return _read_leaves(table, epsilon) if least == 2 else _read_condensed(table, epsilon, least)
+
+
+def _read_condensed(table: pa.Table, epsilon: float, least: int) -> pa.Table:
+    """Leaves of the condensed tree for clusters of ``least`` points, of one run key that fits a task.
+
+    Edges join components in order. One that reaches ``least`` points begins a cluster; it takes in what
+    is smaller, and ends where it meets another cluster, unless they meet within ``epsilon`` and below
+    the root: then both go on as one. Points that come later belong to none.
+    """
+    w, i, j = (table[c].to_numpy() for c in ("w", "i", "j"))
+    order = np.lexsort((j, i, w))
+    names, flat = np.unique(np.concatenate([i[order], j[order]]), return_inverse=True)
+    a, b, w = flat[: len(w)].tolist(), flat[len(w) :].tolist(), w[order].tolist()
+    up = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    merges: list[tuple[int, int, bool]] = []  # roots that an edge joins, and whether both are clusters
+    size, top = [1] * len(names), -1
+    for e in range(len(w)):
+        x, y = find(a[e]), find(b[e])
+        x, y = (x, y) if size[x] >= size[y] else (y, x)
+        both = size[y] >= least
+        top = e if both else top
+        merges.append((x, y, both))
+        up[y] = x
+        size[x] += size[y]
+
+    found, cluster = [], []
+    if top >= 0:
+        size = [1] * len(names)
+        loose = {x: [x] for x in range(len(names))}  # points of components that are no cluster yet
+        open_: dict[int, list[int]] = {}  # points of the cluster that a component is
+        done: list[list[int]] = []
+        for e, (x, y, both) in enumerate(merges):
+            if both:
+                if w[e] <= epsilon and e != top and x in open_ and y in open_:
+                    open_[x] += open_.pop(y)
+                else:
+                    done += [open_.pop(side) for side in (x, y) if side in open_]
+            else:
+                points = loose.pop(y)
+                if x in loose:
+                    loose[x] += points
+                    if size[x] + size[y] >= least:
+                        open_[x] = loose.pop(x)
+                elif x in open_:
+                    open_[x] += points
+            size[x] += size[y]
+        for points in done:
+            found += points
+            cluster += [min(points)] * len(points)
+    return pa.table(
+        {
+            "run_key": pa.array([table["run_key"][0].as_py()] * len(found), pa.string()),
+            "id": pa.array(names[found] if found else [], pa.int64()),
+            "cluster": pa.array(names[cluster] if cluster else [], pa.int64()),
+        }
+    )
+
+
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest vertex of each vertex's component."""
     parent = list(range(n))
@@ -421,12 +490,73 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([find(x) for x in range(n)], int)
 
 
-def _spread_leaves(tree: DataFrame, epsilon: float) -> DataFrame:
-    """The same reading of the tree with joins, for run keys of any size."""
+def _spread_seeds(tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaves of the condensed tree before any merging, with joins: (run_key, id, group), the tree's edges
+    between the groups as ``ci``, ``cj``, and (run_key, id, _first) of the points that came to their
+    group's component only after it had met another one, with the edge that brought them.
+
+    In a round every component of fewer than ``least`` points follows its lightest edge. What hangs
+    together this way grows from one place in the order of the edges, up to the lightest edge that leaves
+    it; so much is contracted, and components stay what the edges in order make them. A component of
+    ``least`` points waits; it is closed once its lightest edge leads to another such component, and what
+    follows its edge to a closed one comes late. Edges between closed components are settled. The least
+    edge of every round is contracted, or closes both its ends, or is settled, so the rounds end; as a rule
+    components at least halve.
+    """
+    edge = "struct<w: double, i: bigint, j: bigint>"
+    ids = pinned(tree.select("run_key", F.explode(F.array("i", "j")).alias("id")).distinct())
+    points = ids.select("run_key", "id", F.col("id").alias("c"), F.lit(None).cast(edge).alias("_first"))
+    comps = ids.select("run_key", F.col("id").alias("c"), F.lit(1).cast("bigint").alias("size"), F.lit(False).alias("closed"))
     edges = pinned(tree.select("run_key", "w", "i", "j", F.col("i").alias("ci"), F.col("j").alias("cj")))
-    chosen = pinned(_lightest(edges))
-    group = _roots(chosen).select("run_key", F.col("c").alias("id"), F.col("root").alias("group"))
-    outer = pinned(_relabel(edges, group.select("run_key", F.col("id").alias("c"), F.col("group").alias("root"))))
+    settled = [edges.limit(0)]
+    big = F.col("size") >= least
+    while not edges.isEmpty():
+        other = comps.select("run_key", F.col("c").alias("to"), big.alias("_big"))
+        state = comps.join(_lightest(edges), ["run_key", "c"], "left").join(other, ["run_key", "to"], "left")
+        state = pinned(state.withColumn("closed", F.col("closed") | (big & F.coalesce("_big", F.lit(False)))).drop("_big"))
+        follow = state.where(big | F.col("to").isNotNull()).select("run_key", "c", F.when(big, F.col("c")).otherwise(F.col("to")).alias("to"))
+        roots = pinned(_roots(follow))
+        leaving = _lightest(_relabel(edges, roots)).select("run_key", F.col("c").alias("root"), F.col("e").alias("_leaving"))
+        ends = state.select("run_key", F.col("c").alias("root"), F.col("closed").alias("_late"))
+        moves = (F.col("c") != F.col("root")) & (F.col("_late") | F.col("_leaving").isNull() | (F.col("e") < F.col("_leaving")))
+        moved = pinned(
+            roots.join(ends, ["run_key", "root"])
+            .join(leaving, ["run_key", "root"], "left")
+            .join(state.select("run_key", "c", "e"), ["run_key", "c"])
+            .where(moves)
+            .select("run_key", "c", "root", F.when(F.col("_late"), F.col("e")).alias("_when"))
+        )
+        points = pinned(
+            points.join(moved, ["run_key", "c"], "left").select(
+                "run_key", "id", F.coalesce("root", "c").alias("c"), F.coalesce("_first", "_when").alias("_first")
+            )
+        )
+        comps = pinned(
+            state.join(moved, ["run_key", "c"], "left")
+            .groupBy("run_key", F.coalesce("root", "c").alias("c"))
+            .agg(F.sum("size").alias("size"), F.max("closed").alias("closed"))
+        )
+        shut = comps.where("closed").select("run_key", F.col("c").alias("ci"), F.lit(True).alias("_i"))
+        rest = _relabel(edges, moved.select("run_key", "c", "root")).join(shut, ["run_key", "ci"], "left")
+        rest = pinned(rest.join(shut.select("run_key", F.col("ci").alias("cj"), F.col("_i").alias("_j")), ["run_key", "cj"], "left"))
+        settled.append(rest.where("_i AND _j").drop("_i", "_j"))
+        edges = pinned(rest.where("_i IS NULL OR _j IS NULL").drop("_i", "_j"))
+    outer = settled[0]
+    for part in settled[1:]:
+        outer = outer.unionByName(part)
+    return points.select("run_key", "id", F.col("c").alias("group")), pinned(outer), points.select("run_key", "id", "_first")
+
+
+def _spread_leaves(tree: DataFrame, epsilon: float, least: int = 2) -> DataFrame:
+    """The same reading of the tree with joins, for run keys of any size."""
+    if least == 2:
+        edges = pinned(tree.select("run_key", "w", "i", "j", F.col("i").alias("ci"), F.col("j").alias("cj")))
+        chosen = pinned(_lightest(edges))
+        group = _roots(chosen).select("run_key", F.col("c").alias("id"), F.col("root").alias("group"))
+        outer = pinned(_relabel(edges, group.select("run_key", F.col("id").alias("c"), F.col("group").alias("root"))))
+        first = chosen.select("run_key", F.col("c").alias("id"), F.col("e").alias("_first"))
+    else:
+        group, outer, first = _spread_seeds(tree, least)
     top = outer.groupBy("run_key").agg(F.max(_edge()).alias("_top"))
     merge = pinned(
         outer.join(top, "run_key").where((_edge() < F.col("_top")) & (F.col("w") <= epsilon)).drop("_top")
@@ -439,11 +569,10 @@ def _spread_leaves(tree: DataFrame, epsilon: float) -> DataFrame:
         )
         outer, merge = pinned(_relabel(outer, roots)), pinned(_relabel(merge, roots))
     closing = _lightest(outer).select("run_key", F.col("c").alias("group"), F.col("e").alias("_closing"))
-    first = chosen.select("run_key", F.col("c").alias("id"), F.col("e").alias("_first"))
     members = (
         group.join(first, ["run_key", "id"])
         .join(closing, ["run_key", "group"])
-        .where(F.col("_first") < F.col("_closing"))
+        .where(F.col("_first").isNull() | (F.col("_first") < F.col("_closing")))
     )
     names = members.groupBy("run_key", "group").agg(F.min("id").alias("cluster"))
     return members.join(names, ["run_key", "group"]).select("run_key", "id", "cluster")
@@ -463,19 +592,19 @@ def hdbscan(
     A label is the smallest member id of its cluster; noise is -1. A key with fewer than three
     points is all noise.
     """
-    if method != "leaf" or min_cluster_size != 2:
-        raise ValueError("only leaf selection with clusters of at least two points is supported")
+    if method != "leaf" or min_cluster_size < 2:
+        raise ValueError("only leaf selection of clusters of two points or more is supported")
     points = _keyed(points)
     forests = _all_forests(points, min_samples, block_rows)
 
     def finish(table: pa.Table) -> pa.Table:
-        return _read_leaves(_finish_tree(table), epsilon)
+        return _read_clusters(_finish_tree(table), epsilon, min_cluster_size)
 
     if _largest(forests) <= local_edges:
         leaves = forests.groupBy("run_key").applyInArrow(finish, LEAF)
     else:
         tree = pinned(_by_run(forests, _finish_tree, _spread_tree, EDGE, local_edges))
-        leaves = leaf_clusters(tree, epsilon, local_edges)
+        leaves = leaf_clusters(tree, epsilon, local_edges, min_cluster_size)
     leaves = leaves.withColumnRenamed("cluster", "label")
     noise = F.lit(-1).cast("bigint")
     return (

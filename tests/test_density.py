@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,58 @@ def test_leaf_labels(spark, sample, epsilon):
     assert len({c for c in want.values() if c >= 0}) >= 2
 
 
+@pytest.mark.parametrize("least", [2, 3, 4, 5, 9])
+@pytest.mark.parametrize("epsilon", [0.0, 0.6, 1.5, 50.0])
+def test_condensed_tree_of_any_size(sample, least, epsilon):
+    """The reading of one run key in a task, for clusters of several sizes."""
+    _, ids, edges, _ = sample
+    table = pa.table({"run_key": ["0"] * len(edges), **{c: [e[k] for e in edges] for k, c in enumerate("wij")}})
+    got = dict.fromkeys(map(int, ids), -1)
+    got.update(zip(*(D._read_condensed(table, epsilon, least)[c].to_pylist() for c in ("id", "cluster"))))
+    assert got == leaf_labels(edges, ids, epsilon, least)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.integers(3, 40), st.integers(2, 6), st.sampled_from([0.0, 0.8, 2.0]))
+def test_condensed_tree_of_random_clouds(seed, n, least, epsilon):
+    x = np.random.default_rng(seed).normal(size=(n, 2)) * 2
+    ids = np.arange(n)
+    edges, _ = tree_edges(x, ids)
+    table = pa.table({"run_key": ["0"] * len(edges), **{c: [e[k] for e in edges] for k, c in enumerate("wij")}})
+    got = dict.fromkeys(range(n), -1)
+    got.update(zip(*(D._read_condensed(table, epsilon, least)[c].to_pylist() for c in ("id", "cluster"))))
+    assert got == leaf_labels(edges, ids, epsilon, least)
+
+
+def test_condensed_tree_with_joins(spark):
+    """The join form, which has no task per run key."""
+    ids = np.arange(36)
+    edges = tree_edges(clouds(9, 36, 2), ids)[0]
+    slices = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        tree = spark.createDataFrame([("0", *e) for e in edges], D.EDGE).coalesce(1)
+        got = dict.fromkeys(range(36), -1)
+        got.update({r.id: r.cluster for r in D.leaf_clusters(tree, 0.5, local_edges=3, min_cluster_size=3).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", slices)
+    want = leaf_labels(edges, ids, 0.5, 3)
+    assert got == want and len(set(want.values())) > 2
+
+
+def test_approximate_neighbours_are_mostly_the_nearest(spark):
+    """Sixteen tables of four planes on clustered vectors: 0.9 of the three nearest, each at its distance."""
+    x = clouds(7, 400, 16)
+    points = frame(spark, x)
+    exact = {r.id: [(n.distance, n.id) for n in r.nearest] for r in D.nearest(points, 3).collect()}
+    found = {r.id: [(n.distance, n.id) for n in r.nearest] for r in D.approximate_nearest(points, 3, tables=16, bits=4, block_rows=64).collect()}
+    met = sum(len(set(exact[i]) & set(found.get(i, []))) for i in exact)
+    assert met >= 0.9 * sum(map(len, exact.values()))
+    for i, row in found.items():
+        assert row == sorted(row) and len({j for _, j in row}) == len(row)
+        assert all(abs(d - float(np.sqrt(np.square(x[i] - x[j]).sum()))) < 1e-12 for d, j in row)
+
+
 def test_input_order_does_not_matter(spark, sample):
     x, ids, _, _ = sample
     flipped = frame(spark, x[::-1], ids[::-1])
