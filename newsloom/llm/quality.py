@@ -136,7 +136,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(known, "name").select("name", "label", "text")
+    # At most ``rows`` ids and labels: small enough to go to where the texts are.
+    return texts.join(F.broadcast(known), "name").select("name", "label", "text")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
