@@ -40,7 +40,7 @@ def date_reader(date_format: Column) -> Column:
     for k, directive in enumerate(DIRECTIVES):
         marked = F.replace(marked, F.lit(directive), F.lit(chr(0xE000 + k)))
     unknown = F.regexp_extract(marked, "%.?", 0)
-    quoted = F.regexp_replace(F.replace(marked, F.lit("'"), F.lit("''")), r"([A-Za-z\[\]{}#]+)", "'$1'")
+    quoted = F.regexp_replace(F.replace(marked, F.lit("'"), F.lit("''")), r"([A-Za-z\[\]{}#']+)", "'$1'")
     for k, pattern in enumerate(DIRECTIVES.values()):
         quoted = F.replace(quoted, F.lit(chr(0xE000 + k)), F.lit(pattern))
     quoted = F.trim(F.regexp_replace(F.replace(quoted, F.lit(PERCENT), F.lit("%")), r"\s+", " "))
