@@ -69,73 +69,55 @@ def replace_all(text: Column, find: Column, repl: Column) -> Column:
     return F.replace(text, find, repl)
 
 
-@lru_cache(maxsize=1)
-def _named_references() -> tuple[str, str]:
-    """HTML's named references, from the standard library: as JSON by first letter and name (which keeps
-    look-ups short), and a pattern of the names that need no semicolon, the longest first."""
+@lru_cache(maxsize=2)
+def _decoder(attribute: bool) -> str:
+    """SQL lambda that decodes the references of a text. One expression text instead of a hundred column
+    nodes: it is parsed on the JVM in one go.
+
+    The names are HTML's, from the standard library, in a map by first letter, which keeps look-ups short;
+    names that need no semicolon are tried with the longest first.
+    """
     table: dict[str, dict[str, str]] = {}
     for name, value in html5.items():
         table.setdefault(name[0], {})[name] = value
-    loose = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-    return json.dumps(table), "|".join(loose)
-
-
-def _character(code: Column) -> Column:
-    """Character of a code point as HTML reads it: C1 controls are Windows-1252, and what is no
-    character is U+FFFD."""
+    loose = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    # C1 controls are read as Windows-1252.
     western = [bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)]
-    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    listed = F.from_json(F.lit(json.dumps(western)), "array<string>")
-    wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    return F.when(wrong, "\ufffd").when(code.between(0x80, 0x9F), F.get(listed, (code - 0x80).cast("int"))).otherwise(plain)
+
+    def literal(value: object) -> str:
+        return "r'" + json.dumps(value).replace("'", "\\u0027") + "'"
+
+    def named(pattern: str) -> str:
+        """The part with its name decoded; null if there is no such name."""
+        found = f"regexp_extract(p, r'{pattern}', 1)"
+        names = f"from_json({literal(table)}, 'map<string, map<string, string>>')"
+        decoded = f"try_element_at(try_element_at({names}, left(n, 1)), n)"
+        return f"get(transform(array({found}), n -> concat({decoded}, substr(p, length(n) + 2))), 0)"
+
+    number = "regexp_extract(p, r'^&#(?:[xX][0-9a-fA-F]+|[0-9]+);?', 0)"
+    sixteen, ten = "regexp_extract(p, r'^&#[xX]0*([0-9a-fA-F]*)', 1)", "regexp_extract(p, r'^&#0*([0-9]*)', 1)"
+    # Codes too long for a character are none; they would not fit a number either.
+    code = f"""CASE WHEN p RLIKE r'^&#[xX]' THEN CASE WHEN length({sixteen}) BETWEEN 1 AND 6 THEN int(conv({sixteen}, 16, 10)) ELSE 0 END
+                    WHEN length({ten}) BETWEEN 1 AND 7 THEN int({ten}) ELSE 0 END"""
+    character = f"""CASE WHEN c = 0 OR c > 1114111 OR c BETWEEN 55296 AND 57343 THEN '\ufffd'
+                         WHEN c BETWEEN 128 AND 159 THEN get(from_json({literal(western)}, 'array<string>'), c - 128)
+                         ELSE decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END"""
+    after = "(?![A-Za-z0-9=])" if attribute else ""
+    part = f"""CASE WHEN NOT startswith(p, '&') THEN p
+                    WHEN {number} <> '' THEN concat(get(transform(array({code}), c -> {character}), 0), substr(p, length({number}) + 1))
+                    ELSE coalesce({named("^&([A-Za-z][A-Za-z0-9]*;)")}, {named(f"^&({loose}){after}")}, p) END"""
+    return f"t -> CASE WHEN contains(t, '&') THEN array_join(transform(split(t, '(?=&)'), p -> {part}), '') ELSE t END"
 
 
 def decode_references(text: Column, attribute: bool = False) -> Column:
     """Decode named and numeric character references, each once, the longest name first.
 
     A name without its semicolon counts where HTML allows that. In an attribute (``attribute``) it does
-    not if a letter, a digit or ``=`` follows, so ``?a=1&copy=2`` stays. Texts without ``&`` are passed
-    on as they are.
+    not if a letter, a digit or ``=`` follows, so ``?a=1&copy=2`` stays. What is no character is U+FFFD.
+    Texts without ``&`` are passed on as they are.
     """
-    listed, loose = _named_references()
-    names = F.from_json(F.lit(listed), "map<string, map<string, string>>")
-    after = "(?![A-Za-z0-9=])" if attribute else ""
-
-    def value(name: Column) -> Column:
-        return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
-
-    def digits(part: Column, pattern: str) -> Column:
-        return F.regexp_extract(part, pattern, 1)
-
-    def one(part: Column) -> Column:
-        whole = F.regexp_extract(part, "^&([A-Za-z][A-Za-z0-9]*;)", 1)
-        short = F.regexp_extract(part, f"^&({loose}){after}", 1)
-        number = F.regexp_extract(part, "^&#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
-        sixteen, ten = digits(part, "^&#[xX]0*([0-9a-fA-F]*)"), digits(part, "^&#0*([0-9]*)")
-        # Codes too long for a character are none; they would not fit a number either.
-        code = (
-            F.when(number.rlike("^&#[xX]"), F.when(F.length(sixteen) > 6, F.lit(0)).when(sixteen == "", F.lit(0)).otherwise(F.conv(sixteen, 16, 10).cast("int")))
-            .otherwise(F.when((F.length(ten) > 7) | (ten == ""), F.lit(0)).otherwise(ten.cast("int")))
-        )
-
-        def named(name: Column) -> Column:
-            """The part with its name decoded; null if there is no such name."""
-            return F.concat(value(name), rest(name, 1))
-
-        def rest(taken: Column, more: int) -> Column:
-            return F.substr(part, F.char_length(taken) + 1 + more)
-
-        return (
-            F.when(~part.startswith("&"), part)
-            .when(number != "", F.concat(_character(code), rest(number, 0)))
-            .otherwise(F.coalesce(named(whole), named(short), part))
-        )
-
-    def decoded(t: Column) -> Column:
-        return F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "(?=&)"), one), "")).otherwise(t)
-
     # The text is an expression: as an array element it is worked out once.
-    return F.get(F.transform(F.array(text), decoded), F.lit(0))
+    return F.get(F.call_function("transform", F.array(text), F.expr(_decoder(attribute))), F.lit(0))
 
 
 def unescape_entities(text: Column, attribute: bool = False) -> Column:
