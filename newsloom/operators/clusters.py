@@ -71,6 +71,19 @@ def load_run(
     return heads.join(pages, "cluster_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
 
 
+def cluster_by_id(
+    run_id: Column | int, cluster_id: Column | int, clusters: DataFrame, memberships: DataFrame, articles: DataFrame,
+    page_size: int = PAGE_SIZE,
+) -> DataFrame:
+    """One cluster of a run in the form of ``load_run``; no row if the run does not have it.
+
+    Both keys reach the scans of clusters and memberships as filters, so only the cluster's own members
+    are joined with their articles.
+    """
+    heads = clusters.where(F.col("id") == cluster_id)
+    return load_run(run_id, heads, memberships.where(F.col("cluster_id") == cluster_id), articles, page_size)
+
+
 def nonempty_clusters(clusters: DataFrame, articles: DataFrame) -> DataFrame:
     return clusters.join(articles.select(F.col("cluster_id").alias("id")), "id", "left_semi")
 

@@ -60,6 +60,20 @@ def load_run(v):
     return pages.select("cluster_id", "cluster_title", "page", F.coalesce(ids, F.lit("")).alias("ids"))
 
 
+@check("cluster_by_id", "articles", RUN_SQL + """
+, placed AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY published_at DESC, article_id) - 1 AS pos FROM linked)
+SELECT h.cluster_id, cluster_title, coalesce(pos // 20, 0) AS page,
+       coalesce(string_agg(CAST(article_id AS VARCHAR), ' ' ORDER BY pos), '') AS ids
+FROM heads h LEFT JOIN placed p ON p.cluster_id = h.cluster_id WHERE h.cluster_id = (SELECT min(cluster_id) FROM heads) GROUP BY 1, 2, 3""")
+def cluster_by_id(v):
+    """The run's first cluster, named by a scalar subquery."""
+    heads, links = run_tables(v)
+    first = heads.where("run_id = 1").agg(F.min("id")).scalar()
+    pages = C.cluster_by_id(1, first, heads, links, v.articles(), page_size=20)
+    ids = F.array_join(F.transform("articles", lambda a: a["article_id"].cast("string")), " ")
+    return pages.select("cluster_id", "cluster_title", "page", F.coalesce(ids, F.lit("")).alias("ids"))
+
+
 @check("latest_run", "", """
 SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at FROM orders
 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1""")
