@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +86,19 @@ def exclude_where(entries: DataFrame, predicates: dict[str, Column]) -> DataFram
     return entries.where(~F.coalesce(drop, F.lit(False)))
 
 
+def rewrite_where(entries: DataFrame, rewrites: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """Column plug-ins: per provider, new values for some columns, as expressions over the old ones.
+    Other providers and columns stay as they are; all of it is one projection."""
+    out = {}
+    for provider_key, columns in rewrites.items():
+        for name, value in columns.items():
+            out[name] = F.when(F.col("provider_key") == provider_key, value).otherwise(out.get(name, F.col(name)))
+    unknown = set(out) - set(entries.columns)
+    if unknown:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    return entries.withColumns(out) if out else entries
+
+
 def clamp_future(entries: DataFrame, now: Clock) -> DataFrame:
     return entries.withColumn("published_at", F.least(F.col("published_at"), _moment(now)))
 

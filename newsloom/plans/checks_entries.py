@@ -299,6 +299,20 @@ def is_recent(v):
     return out.select("id", "link", as_text("published_at").alias("published_at"))
 
 
+@check("provider_plugins", "articles entries", """
+SELECT id, CASE provider_key WHEN 'src1' THEN title || ' (src1)' WHEN 'src2' THEN 'src2: ' || title ELSE title END AS title,
+       CASE WHEN provider_key = 'src1' THEN replace(link, 'https:', 'http:') ELSE link END AS link
+FROM entries WHERE NOT (provider_key = 'src2' AND starts_with('src2: ' || title, 'src2: T'))""")
+def provider_plugins(v):
+    """Column functions of two providers, and a condition that sees what they made."""
+    own = {
+        "src1": {"title": F.concat("title", F.lit(" (src1)")), "link": F.replace("link", F.lit("https:"), F.lit("http:"))},
+        "src2": {"title": F.concat(F.lit("src2: "), "title")},
+    }
+    out = E.exclude_where(E.rewrite_where(v.entries(), own), {"src2": F.startswith(F.col("title"), F.lit("src2: T"))})
+    return out.select("id", "title", "link")
+
+
 @check("exclude_entries", "articles entries", """
 SELECT id, link FROM entries
 WHERE NOT ((provider_key = 'src1' AND (starts_with(title, 'T') OR starts_with(title, 'A')))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +34,9 @@ class Inputs:
     stock[url, stock_url].
 
     Each is a DataFrame, or a function of the session that reads it anew for every tick (see
-    ``living``): an endless ingest then sees rows that arrive after its start.
+    ``living``): an endless ingest then sees rows that arrive after its start. ``rewrites`` and
+    ``predicates`` are plug-ins of providers: expressions over an entry's columns that replace some of them
+    (by provider and column), and then conditions on which an entry is dropped (by provider).
     """
 
     providers: Source
@@ -44,6 +46,8 @@ class Inputs:
     responses: Source
     embeddings: Source
     stock: Source | None = None
+    rewrites: Mapping[str, Mapping[str, Column]] = field(default_factory=dict)
+    predicates: Mapping[str, Column] = field(default_factory=dict)
 
     def current(self, spark: SparkSession) -> Inputs:
         """The tables as they are now."""
@@ -74,7 +78,8 @@ class Tick:
 def _wanted(items: DataFrame, inputs: Inputs, clock: E.Clock) -> DataFrame:
     """Recent and wanted entries of dated items, one per link."""
     recent = E.is_recent(items.where("published_at IS NOT NULL"), inputs.providers, clock)
-    wanted = E.clamp_future(E.exclude(recent, inputs.exclusions), clock)
+    own = E.exclude_where(E.rewrite_where(recent, inputs.rewrites), dict(inputs.predicates))
+    wanted = E.clamp_future(E.exclude(own, inputs.exclusions), clock)
     return E.distinct_links(wanted.select(*ENTRY))
 
 
