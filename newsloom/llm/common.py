@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import scratch_path
+
 #: Rows per Arrow batch: whole texts are long, so batches are small.
 TEXT_ROWS = 256
 
@@ -28,6 +30,25 @@ def tidy_shuffles(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+class Scratch:
+    """Tables of one job in the shared folder: lineage is cut and the planner knows their sizes. Each goes
+    when nothing reads it again, i.e. when what was made of it is written itself."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = scratch_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(self.paths[name])
+        return self.spark.read.parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = 8) -> DataFrame:
     """Join ``many`` to ``one`` (one row per key), dealing each key of ``many`` out to ``salts`` tasks.
 

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from newsloom.llm.common import text_batches, tidy_shuffles
-from newsloom.session import scratch_path
+from newsloom.llm.common import Scratch, text_batches, tidy_shuffles
 
 #: Letters of a gram: a letter and those before it. Every letter and the end mark of an expression is modelled.
 DEPTH = 8
@@ -71,12 +70,6 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, before.view(np.int64), here.view(np.int64)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def text_chunks(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     """Chunks of ``(doc_id, text)``, a row for each: the ids, each text's number of distinct expressions
     (``sizes``), their places in ``words`` and how often they occur, the chunk's distinct expressions,
@@ -195,11 +188,14 @@ def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     step of the way back joins a chunk's distinct expressions or grams, so no pair of a text and an
     expression is shuffled alone.
     """
-    chunks = _written(text_chunks(docs, classes), "chunks")
-    parts = _written(word_chunks(chunks), "words")
+    scratch = Scratch(docs.sparkSession)
+    chunks = scratch.write("chunks", text_chunks(docs, classes))
+    parts = scratch.write("words", word_chunks(chunks))
     # Grams are made again rather than written: they are many times as large as the expressions.
-    slopes = _written(steps(gram_table(parts).drop("part")), "steps")
-    ratios = _written(word_ratios(parts, gram_table(parts).select(F.col("part").alias("of"), "gram").join(slopes, "gram")), "expressions")
+    slopes = scratch.write("steps", steps(gram_table(parts).drop("part")))
+    known = gram_table(parts).select(F.col("part").alias("of"), "gram").join(slopes, "gram")
+    ratios = scratch.write("expressions", word_ratios(parts, known))
+    scratch.drop("words", "steps")
     wanted = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word")).join(ratios, "word").select("of", "place", "ratio")
     name = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
@@ -248,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]:
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
     rows = known.toArrow()
     learn = {r["doc_id"]: r["toxic"] for r in rows.to_pylist() if r["fold"] != 4}
-    scored = _written(mean_ratios(docs, learn), "ratios")
+    scored = Scratch(docs.sparkSession).write("ratios", mean_ratios(docs, learn))
     check = docs.sparkSession.createDataFrame(rows, known.schema).where("fold = 4").select("doc_id", "toxic")
     pairs = scored.join(check, "doc_id").select("ratio", "toxic").toArrow().to_pylist()
     slope, bias = calibrate(np.array([r["ratio"] for r in pairs], float), np.array([r["toxic"] for r in pairs], float))
