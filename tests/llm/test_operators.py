@@ -449,11 +449,9 @@ def brute_lines(rows):
     return gone
 
 
-@pytest.mark.parametrize("crowd", [16, 2])
-def test_line_dedup(spark, monkeypatch, crowd):
+def test_line_dedup(spark):
     from newsloom.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     rng = random.Random(9)
     pool = [sentence(rng, rng.randint(1, 40)).split() for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(ODD)]
