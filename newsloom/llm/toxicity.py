@@ -197,6 +197,9 @@ def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     ratios = scratch.write("expressions", word_ratios(parts, known))
     scratch.drop("words", "steps")
     wanted = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word")).join(ratios, "word").select("of", "place", "ratio")
+    # Written before it meets the chunks, so the words' shuffle and the next one are not on disk together.
+    wanted = scratch.write("found", wanted)
+    scratch.drop("expressions")
     name = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
