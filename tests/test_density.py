@@ -171,3 +171,44 @@ def test_block_candidates_keep_every_tie(points):
     w = np.maximum(np.maximum(c[i], c[j]), D.exact_distances(x[i], x[j]))
     kept = D.kruskal(w, ids[i], ids[j])
     assert sorted(zip(w[kept], i[kept], j[kept])) == sorted(edges)
+
+
+def test_points_are_not_sent_once_per_block(spark):
+    """Many blocks share a strip, and many run keys stay whole: rows follow the points."""
+    points = D._keyed(frame(spark, np.zeros((400, 2))))
+    assert D._strip_pairs(points, 4).count() <= 400 * D.STRIPS
+    keys = points.withColumn("run_key", (points.id % 50).cast("string"))
+    assert D._strip_pairs(keys, 4).count() == 400
+
+
+def test_forests_are_thinned_before_joins(spark):
+    """Edges of all strip pairs come down to less than two trees, so a tree that fits a task is finished there."""
+    points = D._keyed(frame(spark, clouds(seed=5, n=300)))
+    assert D._all_forests(points, 2, 10, 400).count() <= 400
+
+
+def test_nearest_over_strips_and_copies(spark):
+    x = np.concatenate([clouds(seed=6, n=150), np.ones((90, 6)), np.ones((3, 6)) * 4])
+    d = np.sqrt(np.square(x[:, None] - x[None]).sum(axis=2))
+    got = {r.id: [(n.distance, n.id) for n in r.nearest] for r in D.nearest(frame(spark, x), 3, block_rows=16).collect()}
+    for i in range(len(x)):
+        assert got[i] == sorted((d[i, j], j) for j in range(len(x)) if j != i)[:3]
+
+
+def test_tree_of_many_copies(spark):
+    x = np.concatenate([clouds(seed=7, n=60), np.ones((80, 6)), np.ones((2, 6)) * 4])
+    ids = np.random.default_rng(3).permutation(len(x))
+    edges, _ = tree_edges(x, ids)
+    tree = D.mutual_reachability_mst(frame(spark, x, ids), block_rows=16)
+    assert sorted((r.w, r.i, r.j) for r in tree.collect()) == sorted(edges)
+
+
+def test_strips_of_many_blocks_keep_the_tree(spark):
+    """Once the points of a strip pair are linked, only edges up to the heaviest link are looked at."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(400, 3)), rng.normal(size=(3, 3)) * 30])
+    edges, _ = tree_edges(x, np.arange(len(x)))
+    whole = D._keyed(frame(spark, x)).withColumn("run_key", (D.F.col("id") * 0).cast("string"))
+    others = D._keyed(frame(spark, rng.normal(size=(6000, 3)), np.arange(10_000, 16_000))).withColumn("run_key", D.F.lit("1"))
+    tree = D.mutual_reachability_mst(whole.unionByName(others), block_rows=20).where("run_key = '0'")
+    assert sorted((r.w, r.i, r.j) for r in tree.collect()) == sorted(edges)
