@@ -99,3 +99,44 @@ def test_stream_alert_fires_without_a_later_success(spark, tmp_path):
     assert [(r.service, r.fires_at) for r in got] == [
         ("ingest", int((T0 - datetime(1970, 1, 1)).total_seconds()) + 36 * 60)
     ]
+
+
+def test_shares_of_many_files_lose_no_lines(spark, tmp_path):
+    """A log in more files than one per stretch of time: the counts and silences are those of all lines."""
+    from pyspark.sql import Window
+
+    from newsloom.plans import checks_runs
+
+    class View:
+        pass
+
+    v = View()
+    v.spark = spark
+    n = 3000
+    ts = (F.lit(T0).cast("timestamp").cast("double") + F.col("id") * 61.7 + F.floor(F.col("id") / 1000) * 4000).cast("timestamp")
+    lines = spark.range(n).select(ts.alias("ts"), F.lit("ingest").alias("service"), F.lit("tick done").alias("message"))
+    lines = lines.repartition(7)
+    path = str(tmp_path / "counts")
+    checks_runs.land(v, lines, path, lambda stream: alerts.success_counts(stream, "tick done"))
+    got = {(r.since, r.n) for r in spark.read.parquet(f"{path}/out").collect()}
+    closed = lines.groupBy(F.window("ts", "20 minutes", "1 minute").alias("w")).count().select("w.*", "count")
+    newest = lines.agg(F.max("ts") - F.expr("INTERVAL 5 MINUTES")).first()[0]
+    assert got == {(r.start, r["count"]) for r in closed.where(F.col("end") <= F.lit(newest)).collect()}
+
+    path = str(tmp_path / "silence")
+    checks_runs.land(v, lines, path, lambda stream: alerts.silence_alerts(stream, "tick done"))
+    later = F.lead("ts").over(Window.orderBy("ts"))
+    want = lines.withColumn("later", later).where("later > ts + INTERVAL 1 HOUR").select("ts").collect()
+    newest = lines.agg(F.max("ts")).first()[0]
+    out = spark.read.parquet(f"{path}/out").where(F.col("last_success") < F.lit(newest))
+    assert sorted(r.last_success for r in out.collect()) == sorted(r.ts for r in want) and len(want) == 2
+
+
+def test_first_and_last_line_of_a_minute_stay():
+    import pyarrow as pa
+
+    at = [pa.scalar(s * 1_000_000, pa.timestamp("us", "UTC")) for s in (65, 61, 119, 121)]
+    lines = pa.record_batch({"ts": pa.array([a.as_py() for a in at], pa.timestamp("us", "UTC")), "service": ["a"] * 4,
+                             "success": [True] * 4, "minute": [1, 1, 1, 2]})
+    seconds = sorted(t.second + 60 * t.minute for b in alerts._ends_of_minutes(iter([lines])) for t in b["ts"].to_pylist())
+    assert seconds == [61, 119, 121, 121]
