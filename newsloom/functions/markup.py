@@ -53,9 +53,10 @@ def all_imgs(html: Column) -> Column:
     return F.filter(F.transform(tags, lambda t: attribute(t, "src")), lambda s: s.isNotNull() & (s != ""))
 
 
-def page_title(html: Column) -> Column:
+def page_title(html: Column, strict: bool = False) -> Column:
+    """Text of the title; ``strict`` as in ``decode_references``."""
     raw = F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
-    text = F.trim(unescape_entities(F.regexp_replace(raw, r"\s+", " ")))
+    text = F.trim(unescape_entities(F.regexp_replace(raw, r"\s+", " "), strict=strict))
     return non_blank(text)
 
 
@@ -75,9 +76,9 @@ def meta_content(html: Column, *names: str) -> Column:
     return unescape_entities(F.coalesce(*found), attribute=True)
 
 
-def visible_text(markup: Column) -> Column:
+def visible_text(markup: Column, strict: bool = False) -> Column:
     """Text of a fragment: tags become blanks, entities are decoded, runs of blanks collapse."""
-    text = unescape_entities(F.regexp_replace(markup, "(?s)<[^>]*>", " "))
+    text = unescape_entities(F.regexp_replace(markup, "(?s)<[^>]*>", " "), strict=strict)
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -85,7 +86,7 @@ def _word_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
 
 
-def main_text(html: Column) -> Column:
+def main_text(html: Column, strict: bool = False) -> Column:
     """Article text by shallow text features: keep blocks that are long and not mostly links.
 
     Code and furniture go first, then the page is cut at block-level tags. A block stays when it
@@ -98,8 +99,8 @@ def main_text(html: Column) -> Column:
     measured = F.transform(
         blocks,
         lambda b: F.struct(
-            visible_text(b).alias("text"),
-            visible_text(F.array_join(F.regexp_extract_all(b, F.lit(LINK), F.lit(1)), " ")).alias("links"),
+            visible_text(b, strict).alias("text"),
+            visible_text(F.array_join(F.regexp_extract_all(b, F.lit(LINK), F.lit(1)), " "), strict).alias("links"),
         ),
     )
     kept = F.filter(

@@ -102,3 +102,14 @@ def test_meta_content(spark):
     page = '<meta charset="utf-8"><META Property="Article:Published_Time" content="2024-01-01"><meta name=author content="A &amp; B">'
     assert evaluate(spark, markup.meta_content(F.col("x"), "author"), page, "<p>") == ["A & B", None]
     assert evaluate(spark, markup.meta_content(F.col("x"), "nothing", "article:published_time"), page) == ["2024-01-01"]
+
+
+def test_references_that_were_cut_off_stay_when_strict(spark):
+    words = "word " * 12
+    html = f"<title>A &amp; B&amp</title><p>{words}&lt;b&#62; &#6 &amp &copyx &nbsp;end&amp</p>"
+    row = spark.createDataFrame([(html,)], "html string").select(
+        markup.page_title(F.col("html"), strict=True).alias("strict"), markup.page_title(F.col("html")).alias("loose"),
+        markup.main_text(F.col("html"), strict=True).alias("text"),
+    ).first()
+    assert (row.strict, row.loose) == ("A & B&amp", "A & B&")
+    assert row.text == f"{words}<b> &#6 &amp &copyx end&amp"
