@@ -3,6 +3,7 @@
 import html
 from dataclasses import replace
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -168,3 +169,21 @@ def test_versions_of_one_url_over_many_ranges(spark):
     out = sorted(store.article_versions(seen).collect(), key=lambda r: r.version)
     assert [r.version for r in out] == list(range(1, 135)) and [int(r.content) for r in out] == list(range(134))
     assert all(a.valid_to == b.valid_from for a, b in zip(out, out[1:])) and out[-1].valid_to is None
+
+
+def test_versions_carry_digests_not_texts(spark):
+    """Of sights at one time the least values count, equal ones once; texts take part in the last join only."""
+    hour = timedelta(hours=1)
+    rows = [("u", T0, "b", "x"), ("u", T0, "a", "z"), ("u", T0, "a", "z"), ("u", T0 + hour, "a", "z"), ("u", T0 + 2 * hour, None, "z"),
+            ("u", T0 + 2 * hour, None, "z"), ("u", T0 + 3 * hour, "", "z")]
+    seen = spark.createDataFrame(rows, "url string, seen_at timestamp, title string, content string")
+    out = store.article_versions(seen)
+    got = sorted((r.version, r.valid_from, r.valid_to, r.altered, r.title, r.content) for r in out.collect())
+    later = [T0 + 2 * hour, T0 + 3 * hour, None]
+    assert got == [(1, T0, later[0], [], "a", "z"), (2, later[0], later[1], ["title"], None, "z"), (3, later[1], None, ["title"], "", "z")]
+    wide = spark.range(2000).select(F.lit("u").alias("url"), F.timestamp_seconds("id").alias("seen_at"), F.lit("t").alias("title"), F.repeat(F.lit("x"), F.lit(1000)).alias("content"))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    store.article_versions(wide).count()
+    written = sum(p.stat().st_size for p in folder.rglob("part-*") if p not in before)
+    assert written < 2000 * 1000
