@@ -25,3 +25,22 @@ def test_as_dimension_checks_size(spark):
     assert big is df
     assert "LocalRelation" in small._jdf.queryExecution().optimizedPlan().toString()
     assert small.exceptAll(df).isEmpty()
+
+
+def test_a_growing_join_side_does_not_pass_through_the_driver(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10m")
+        tune(spark)
+        left, right = (spark.range(300_000).withColumn(name, F.xxhash64("id", F.lit(name))) for name in "ab")
+        joined = left.join(right, "id")
+        assert joined.count() == 300_000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        for lower in ("-1", "256k"):
+            spark.conf.set(key, lower)
+            tune(spark)
+            assert spark.conf.get(key) in (lower, str(256 << 10))
+    finally:
+        spark.conf.set(key, before)
