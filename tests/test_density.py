@@ -181,6 +181,44 @@ def test_points_are_not_sent_once_per_block(spark):
     assert D._strip_pairs(keys, 4).count() == 400
 
 
+def test_points_of_one_key_stay_spread(spark):
+    """The sizes of the keys come to the points, not the points of a key to one task."""
+    points = spark.range(3000, numPartitions=6).selectExpr("string(id div 100000) AS run_key", "id", "array(double(id)) AS embedding")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        plan = D._strip_pairs(points, 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-22, 1e22])
+def test_single_precision_decides_nothing(scale):
+    """All pairs up to a squared distance pass, near copies and vectors beyond single precision too."""
+    x = np.concatenate([clouds(seed=8), clouds(seed=8) + 1e-9]) * scale
+    d2 = np.square(x[:, None] - x[None]).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    half, slack = D._halves(x, x)
+    for square in (0.0, 1e-18 * scale**2, float(np.median(d2))):
+        r, c = D._at_most(half, square, slack)
+        assert set(zip(*np.nonzero(d2 <= square))) <= set(zip(r, c)) and not (r == c).any()
+
+
+def test_kruskal_equals_union_find():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        n, m = rng.integers(2, 30), rng.integers(0, 90)
+        i, j, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 5, m).astype(float)
+        up, want = list(range(n)), []
+        for e in np.lexsort((j, i, w)).tolist():
+            if up[i[e]] != up[j[e]]:
+                old, new = up[i[e]], up[j[e]]
+                up = [new if u == old else u for u in up]
+                want.append(e)
+        assert D.kruskal(w, i, j).tolist() == want
+
+
 def test_forests_are_thinned_before_joins(spark):
     """Edges of all strip pairs come down to less than two trees, so a tree that fits a task is finished there."""
     points = D._keyed(frame(spark, clouds(seed=5, n=300)))

@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from newsloom.session import as_dimension, numbered
+from newsloom.session import as_dimension, numbered, tune
 
 
 def test_numbered_equals_row_number_with_a_hot_group(spark):
