@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,33 @@ BUCKETS = 64
 FEW = 100_000
 #: Appended files of a bucket that make the index worth compacting.
 FILES = 16
+#: Bits of the bounded table by which rows of other URLs are left where they are read.
+FILTER_BITS = 1 << 22
 
 
 def bucket_of(url: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
 
 
+def maybe_among(urls: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A condition that holds for every URL of ``urls[url]``, and for few others, to leave rows where they are
+    read before a join shuffles them. It is a table of ``bits`` bits, whatever the number of URLs: far more
+    URLs than bits leave nothing out, and the join decides in any case."""
+    number = lambda url: F.xxhash64(url).bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n").bitwiseAND(F.lit(63)).cast("int"))
+    words = urls.where("url IS NOT NULL").select(number(F.col("url")).alias("n"))
+    words = words.groupBy(F.shiftright("n", 6).alias("slot")).agg(F.bit_or(bit).alias("word"))
+    slots = urls.sparkSession.range(bits // 64).select(F.col("id").alias("slot")).join(words, "slot", "left")
+    every = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("word", F.lit(0).cast("bigint")).alias("word"))))
+    table = slots.agg(every.getField("word").alias("words")).scalar()
+
+    def among(url: Column) -> Column:
+        n = number(url)
+        return F.getbit(F.get(table, F.shiftright(n, 6).cast("int")), n.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return among
+
+
 class UrlIndex:
     """``url`` of every stored article below ``path``, in folders ``bucket=N``.
 

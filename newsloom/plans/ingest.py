@@ -13,7 +13,7 @@ from newsloom.operators import articles as A
 from newsloom.operators import entries as E
 from newsloom.operators import store
 from newsloom.operators.images import feed_images
-from newsloom.operators.url_index import UrlIndex
+from newsloom.operators.url_index import UrlIndex, maybe_among
 from newsloom.plans import runs
 from newsloom.session import pinned
 from newsloom.sources import snapshots
@@ -102,13 +102,18 @@ def quarantine(raw: DataFrame, inputs: Inputs, now: E.Clock | None = None) -> tu
 def build_articles(entries: DataFrame, inputs: Inputs) -> DataFrame:
     """Extraction and enrichment of new entries only.
 
-    Every lookup table is cut to the batch's links first, so that only its own pages, answers and
-    vectors take part in the joins; no batch passes through the driver.
+    Entries without a vector become no article, so the others are cut off before any text is looked
+    up. Every lookup table is cut to the batch's links first, so that only its own pages, answers and
+    vectors take part in the joins: most other rows by a bounded filter where they are read, the rest
+    by the key. No batch passes through the driver.
     """
+    vectors = inputs.embeddings.select(F.col("url").alias("link"))
+    entries = pinned(entries.join(vectors, "link", "left_semi"))
     batch = entries.select(F.col("link").alias("url"))
+    among = maybe_among(batch)
 
     def own(table: DataFrame | None) -> DataFrame | None:
-        return table if table is None else table.join(batch, "url", "left_semi")
+        return table if table is None else table.where(among(F.col("url"))).join(batch, "url", "left_semi")
 
     outlets = entries.select(F.col("link").alias("url"), "provider_key")
     # Extraction is heavy per page: spread the batch, on the key of the joins that follow.

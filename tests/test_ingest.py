@@ -13,7 +13,7 @@ from newsloom import schemas
 from newsloom.functions.dates import date_reader, read_date
 from newsloom.functions.text import decode_references
 from newsloom.operators import store
-from newsloom.operators.url_index import UrlIndex
+from newsloom.operators.url_index import UrlIndex, maybe_among
 from newsloom.plans import ingest
 from newsloom.sources import feeds, snapshots
 from tests.test_streaming import T0, feed, make_inputs
@@ -187,3 +187,37 @@ def test_versions_carry_digests_not_texts(spark):
     store.article_versions(wide).count()
     written = sum(p.stat().st_size for p in folder.rglob("part-*") if p not in before)
     assert written < 2000 * 1000
+
+
+def test_rows_of_other_urls_stay_where_they_are_read(spark):
+    urls = spark.range(1000).selectExpr("concat('https://x.example/', id) AS url").unionByName(spark.createDataFrame([(None,)], "url string"))
+    table = spark.range(20000).selectExpr("concat('https://x.example/', id) AS url")
+    kept = table.where(maybe_among(urls, 1 << 16)(F.col("url")))
+    assert kept.count() < 2000 and kept.join(urls, "url", "left_semi").count() == 1000
+    full = table.where(maybe_among(urls, 64)(F.col("url")))
+    assert full.join(urls, "url", "left_semi").count() == 1000
+    assert table.where(maybe_among(urls.limit(0))(F.col("url"))).isEmpty()
+
+
+def test_lookup_tables_are_cut_below_their_joins(spark):
+    """Texts of other URLs are left out before the join that makes a table shuffles them."""
+    left = spark.range(5000).selectExpr("id", "concat('u', id) AS url", "repeat('x', 100) AS html")
+    pages = left.join(spark.range(5000).hint("merge"), "id").select("url", "html")
+    cut = pages.where(maybe_among(spark.createDataFrame([("u1",)], "url string"))(F.col("url")))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(n for n, line in enumerate(plan) if "Join Inner" in line)
+    assert any("scalar-subquery" in line for line in plan[join:]) and not any("scalar-subquery" in line for line in plan[:join])
+    assert [r.url for r in cut.collect()] == ["u1"]
+
+
+def test_entries_without_a_vector_look_nothing_up(spark):
+    """Only entries with a vector reach the pages; what becomes an article stays the same."""
+    kind = "link string, provider_key string, title string, published_at timestamp, summary string, image_urls array<string>"
+    entries = spark.createDataFrame([(f"u{i}", "p", "t", T0, "s", []) for i in range(3)], kind)
+    answer = '{"summary": "s", "rank": 1, "categories": ["a"], "stock_image_search": "q", "is_paywalled": false}'
+    responses = spark.createDataFrame([("u0", answer), ("u1", answer), ("u9", answer)], "url string, payload string")
+    vectors = spark.createDataFrame([("u1", [1.0]), ("u2", [1.0])], "url string, embedding array<double>")
+    fails = F.when(F.col("url") == "u0", F.raise_error(F.lit("looked up"))).otherwise("<title>x</title>")
+    pages = spark.createDataFrame([("u0",), ("u1",)], "url string").select("url", fails.cast("string").alias("html"))
+    inputs = ingest.Inputs(None, None, None, pages, responses, vectors)
+    assert [r.url for r in ingest.build_articles(entries, inputs).collect()] == ["u1"]
