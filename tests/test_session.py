@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -44,3 +45,11 @@ def test_a_growing_join_side_does_not_pass_through_the_driver(spark):
             assert spark.conf.get(key) in (lower, str(256 << 10))
     finally:
         spark.conf.set(key, before)
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    """What a Python task holds at once follows from bytes, not from the number of rows."""
+    rows = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), F.lit(20_000)).alias("html"))
+    sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"id": pa.array([b.num_rows], pa.int64())}) for b in batches), "id bigint")
+    most = sizes.agg(F.max("id"), F.sum("id")).first()
+    assert most[1] == 2000 and most[0] * 20_000 <= 8 << 20
