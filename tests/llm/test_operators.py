@@ -490,6 +490,34 @@ def test_line_dedup_without_id(spark):
     assert got == {(7, 1, ()), (None, 2, (0,)), (None, 2, (1,))}
 
 
+def test_line_pairs_do_not_grow_with_the_square(spark, monkeypatch):
+    """A large group of near copies, and long lines that share rare words: few pairs are compared."""
+    from newsloom.llm import line_dedup
+
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for d in range(300):
+        line = [w for w in base if rng.random() > 0.03]
+        for _ in range(rng.randint(0, 3)):
+            line[rng.randrange(len(line))] = f"w{rng.randrange(10**6)}"
+        rows.append((d, " ".join(line)))
+    for d in range(300, 360):
+        rows.append((d, " ".join(rng.sample([f"v{i}" for i in range(700)], 160))))
+    seen = []
+    pinned = line_dedup.pinned
+
+    def counted(df):
+        out = pinned(df)
+        seen.append(out.count() if "early" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "pinned", counted)
+    got = line_dedup.line_dedup(frame(spark, rows), whole=False).collect()
+    assert {(r.doc_id, i) for r in got for i in r.removed} == brute_lines(rows)
+    assert sum(seen) < 4 * len(rows)
+
+
 # ---- 9 decontamination
 
 
