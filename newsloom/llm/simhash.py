@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Forest, groups, salted_join, text_batches
-from newsloom.llm.graph import components
+from newsloom.llm.graph import components, joined
 from newsloom.session import pinned
 
 SEED = 42
@@ -377,7 +377,7 @@ def near_copies(
     # The class of a text and all ids that have it.
     same = prints.select("doc_id", "name").distinct()
     copies = salted_join(same, classes.select("name", "rep"), "name", F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = pinned(copies.where("a <> b"))
+    copies = copies.where("a <> b")
     tested = found = left = None
     most = 1
     while True:
@@ -396,8 +396,8 @@ def near_copies(
         pairs = proposed.where("a <> b").select("a", "b").distinct()
         pairs = pinned(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = edges.unionByName(pinned(_verified(source, pairs, size, least)))
-        found = components(edges)
+        linked = pinned(_verified(source, pairs, size, least))
+        found = components(copies.unionByName(linked)) if found is None else joined(found, linked)
         left = proposed.where("a IS NULL").select(*by, "shards")
         if left.isEmpty():
             break

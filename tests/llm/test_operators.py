@@ -61,6 +61,30 @@ def test_components(spark):
     assert components(empty(spark, "a long, b long")).count() == 0
 
 
+def test_joined_components(spark):
+    from newsloom.llm.graph import components, joined
+
+    rng = random.Random(2)
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    for n in (20, 60, 150):
+        old, new = ([(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(n)] for _ in range(2))
+        rows = joined(components(links(old)), links(new)).collect()
+        got, every = {r.node: r.component for r in rows}, [p for p in old + new if p[0] != p[1]]
+        assert len(rows) == len(got) and got == roots({x for p in every for x in p}, every)
+    assert joined(components(links([(1, 2)])), links([])).collect() == components(links([(1, 2)])).collect()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_star_repeats_no_node(spark, small):
+    """What goes back to the edges of a contraction has no more rows than the edges, and a centre's are spread."""
+    from newsloom.llm import graph
+
+    edges = [(2 * i + 1, 2 * i) for i in range(2000)] + [(x, 4000) for x in range(5000, 7000)]
+    out = graph._star(spark.createDataFrame(edges, "u long, v long"), small)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == set(edges)
+
+
 # ---- 1 toxicity
 
 
