@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -70,10 +72,53 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, before.view(np.int64), here.view(np.int64)
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    """64-bit hashes of expressions."""
+    return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64).view(np.int64)
+
+
+def slot_bits(lists: DataFrame) -> int:
+    """Bits of a key that name its slot, so that the keys of a slot stay as many when there are more lists."""
+    return min(12, max(3, lists.count().bit_length() - 1))
+
+
+def asked(of: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted keys as rows ``(of, slot, keys)``, one for each slot."""
+    slots = keys >> (64 - bits)
+    starts = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), pa.array(keys))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), of), pa.int64()), pa.array(slots[starts], pa.int64()), lists], names=["of", "slot", "keys"])
+
+
+def answered(asks: DataFrame, table: DataFrame, bits: int) -> DataFrame:
+    """``(of, slot, values)``: for the keys of each row of ``asks`` their values in ``table`` (columns ``key``,
+    ``value``), 0 where it has none. Lists go there and back, so neither a key nor a value is a row alone."""
+
+    def run(ask: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values = known.column("key").to_numpy(), known.column("value").to_numpy()
+        order = np.argsort(keys)
+        keys, values = np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], 0.0)
+        lists = ask.column("keys").combine_chunks()
+        wanted = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(keys, wanted)
+        found = pa.array(np.where(keys[at] == wanted, values[at], 0.0))
+        ends = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+        return pa.table({"of": ask.column("of"), "slot": ask.column("slot"), "values": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)})
+
+    known = table.select(F.shiftright("key", 64 - bits).alias("in"), "key", "value")
+    return asks.groupBy("slot").cogroup(known.groupBy("in")).applyInArrow(run, "of long, slot long, values array<double>")
+
+
+def in_order(found: pa.Table) -> np.ndarray:
+    """The values of one list, in the order of its keys."""
+    rows = found.sort_by("slot").column("values").combine_chunks()
+    return pc.list_flatten(rows).to_numpy(zero_copy_only=False)
+
+
 def text_chunks(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     """Chunks of ``(doc_id, text)``, a row for each: the ids, each text's number of distinct expressions
-    (``sizes``), their places in ``words`` and how often they occur, the chunk's distinct expressions,
-    and in how many texts of class 0, of class 1 and of all each stands."""
+    (``sizes``), their places in ``words`` and how often they occur, the chunk's distinct expressions in
+    the order of their keys, and in how many texts of class 0, of class 1 and of all each stands."""
     text_batches(docs.sparkSession)
     tidy_shuffles(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classes)
@@ -88,9 +133,13 @@ def text_chunks(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
         at = [places.setdefault(w, len(places)) for bag in bags for w in bag]
         sizes = [len(bag) for bag in bags]
         kind = np.repeat(np.array([known.get(x, 2) for x in ids], np.int64), sizes)
-        where = np.array(at, np.int64)
+        words = list(places)
+        order = np.argsort(word_keys(words), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        where = rank[np.array(at, np.int64)]
         d = [np.bincount(where[kind == k], minlength=len(places)) for k in (0, 1)] + [np.bincount(where, minlength=len(places))]
-        values = [uuid.uuid4().int >> 65, ids, sizes, at, [n for bag in bags for n in bag.values()], list(places), *d]
+        values = [uuid.uuid4().int >> 65, ids, sizes, where, [n for bag in bags for n in bag.values()], [words[i] for i in order], *d]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types.values(), strict=True)], names=list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,22 +211,41 @@ def steps(counts: DataFrame) -> DataFrame:
     return met.select("gram", (F.ln(own[1]) - F.ln(own[0])).alias("step"))
 
 
+def gram_lists(parts: DataFrame, bits: int) -> DataFrame:
+    """The distinct grams of each chunk of expressions, as ``asked`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield asked(r["part"], np.unique(grams(r["words"])[2]), bits)
+
+    return parts.select("part", "words").mapInArrow(run, "of long, slot long, keys array<long>")
+
+
+def word_lists(chunks: DataFrame, bits: int) -> DataFrame:
+    """The distinct expressions of each chunk of texts, as ``asked`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield asked(r["chunk"], word_keys(r["words"]), bits)
+
+    return chunks.select("chunk", "words").mapInArrow(run, "of long, slot long, keys array<long>")
+
+
 def word_ratios(parts: DataFrame, known: DataFrame) -> DataFrame:
-    """``(word, ratio)`` from the chunks of expressions and ``(of, gram, step)``: log-likelihood of the
-    word under the toxic model minus that under the ordinary one. The toxic model mixes expressions of
-    toxic texts into ordinary language, as toxic texts do."""
+    """``(key, value)`` from the chunks of expressions and the steps of their grams: an expression's key, and
+    its log-likelihood under the toxic model minus that under the ordinary one. The toxic model mixes
+    expressions of toxic texts into ordinary language, as toxic texts do."""
 
     def run(part: pa.Table, found: pa.Table) -> pa.Table:
         words = part.column("words")[0].as_py()
         word, _, gram = grams(words)
-        keys, values = found.column("gram").to_numpy(), found.column("step").to_numpy()
-        order = np.argsort(keys)
-        keys, values = np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], 0.0)
-        at = np.searchsorted(keys, gram)
-        logs = np.bincount(word, weights=np.where(keys[at] == gram, values[at], 0.0), minlength=len(words))
-        return pa.table({"word": pa.array(words, pa.string()), "ratio": np.log1p(SHARE * np.expm1(np.minimum(logs, 60.0)))})
+        where = np.unique(gram, return_inverse=True)[1]
+        logs = np.bincount(word, weights=in_order(found)[where], minlength=len(words))
+        return pa.table({"key": word_keys(words), "value": np.log1p(SHARE * np.expm1(np.minimum(logs, 60.0)))})
 
-    return parts.select("part", "words").groupBy("part").cogroup(known.groupBy("of")).applyInArrow(run, "word string, ratio double")
+    return parts.select("part", "words").groupBy("part").cogroup(known.groupBy("of")).applyInArrow(run, "key long, value double")
 
 
 def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
@@ -185,34 +253,35 @@ def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     of the whole text (0 without expressions), learnt from the ``classes`` of some ids.
 
     Texts are read once. Expressions, grams and counts are tables, which grow with the texts, and each
-    step of the way back joins a chunk's distinct expressions or grams, so no pair of a text and an
-    expression is shuffled alone.
+    step of the way back looks up lists of a chunk's distinct expressions or grams, so no pair of a text
+    and an expression is shuffled alone.
     """
     scratch = Scratch(docs.sparkSession)
     chunks = scratch.write("chunks", text_chunks(docs, classes))
     parts = scratch.write("words", word_chunks(chunks))
     # Grams are made again rather than written: they are many times as large as the expressions.
     slopes = scratch.write("steps", steps(gram_table(parts).drop("part")))
-    known = gram_table(parts).select(F.col("part").alias("of"), "gram").join(slopes, "gram")
+    bits = slot_bits(parts)
+    known = answered(gram_lists(parts, bits), slopes.select(F.col("gram").alias("key"), F.col("step").alias("value")), bits)
     ratios = scratch.write("expressions", word_ratios(parts, known))
     scratch.drop("words", "steps")
-    wanted = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word")).join(ratios, "word").select("of", "place", "ratio")
+    bits = slot_bits(chunks)
     # Written before it meets the chunks, so the words' shuffle and the next one are not on disk together.
-    wanted = scratch.write("found", wanted)
+    wanted = scratch.write("found", answered(word_lists(chunks, bits), ratios, bits))
     scratch.drop("expressions")
+    # The expressions themselves go before the last shuffle.
+    slim = scratch.write("texts", chunks.select("chunk", "doc_id", "sizes", "at", "n"))
+    scratch.drop("chunks")
     name = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
         sizes, at, n = (np.array(chunk.column(c)[0].as_py(), np.int64) for c in ("sizes", "at", "n"))
-        ratio = np.zeros(found.num_rows)
-        ratio[found.column("place").to_numpy()] = found.column("ratio").to_numpy()
         text = np.repeat(np.arange(len(sizes)), sizes)
-        sums = np.bincount(text, weights=ratio[at] * n, minlength=len(sizes))
+        sums = np.bincount(text, weights=in_order(found)[at] * n, minlength=len(sizes))
         total = np.bincount(text, weights=n, minlength=len(sizes))
         return pa.table({"doc_id": pa.array(chunk.column("doc_id")[0].as_py(), id_type), "ratio": sums / np.maximum(total, 1)})
 
-    slim = chunks.select("chunk", "doc_id", "sizes", "at", "n")
     return slim.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(run, f"doc_id {name}, ratio double")
 
 

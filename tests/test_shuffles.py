@@ -36,3 +36,21 @@ def test_texts_without_a_vector_stay_where_they_are_read(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert {int(r.url.rpartition("/")[2]) for r in rows} == {i for i in range(0, 400, 20) if i % 7}
     assert size < 1 << 21
+
+
+def test_expressions_and_grams_are_not_shuffled_alone(spark, tmp_path):
+    from newsloom.llm.toxicity import toxicity
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 12))) for _ in range(20_000)]
+    docs = [(i, " ".join(rng.sample(words, 200))) for i in range(1_000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(1_000)], "doc_id long, toxic int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, size = shuffled(spark, lambda: toxicity(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == 1_000
+    assert size < 15_000_000
