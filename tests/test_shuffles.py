@@ -5,8 +5,8 @@ import random
 import __spark_entry__ as entrypoint
 
 
-def shuffled(spark, run):
-    """The result of ``run`` and the bytes that its stages write to shuffles."""
+def shuffled(spark, run, total=sum):
+    """The result of ``run`` and the bytes that its stages write to shuffles (``total``: or the most of them)."""
     sc = spark.sparkContext
     sc.setJobGroup("shuffled", "shuffled")
     try:
@@ -14,7 +14,7 @@ def shuffled(spark, run):
         sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
         stages = {s for job in tracker.getJobIdsForGroup("shuffled") for s in tracker.getJobInfo(job).stageIds}
-        return out, sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+        return out, total(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
 
@@ -54,3 +54,19 @@ def test_expressions_and_grams_are_not_shuffled_alone(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert len(rows) == 1_000
     assert size < 15_000_000
+
+
+def test_tokens_of_lines_meet_in_parts(spark):
+    from newsloom.llm.line_dedup import line_dedup
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(30_000)]
+    docs = [(i, "\n".join(" ".join(rng.sample(words, 40)) for _ in range(10))) for i in range(1_000)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, size = shuffled(spark, lambda: line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), whole=False).collect(), max)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == 1_000 and not any(r.n_removed for r in rows)
+    assert size < 1_700_000
