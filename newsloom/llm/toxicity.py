@@ -28,6 +28,9 @@ SHARE = 0.02
 LABELLED_ROWS = 40_000
 #: Texts and letters of a chunk of texts, and expressions of a chunk of expressions.
 TEXTS, LETTERS_HELD, WORDS = 2048, 1 << 23, 50_000
+#: A chunk is a row of megabytes, so each is a row group: else a task holds up to 100 of them before it writes any, and
+#: what reads them gets all of a group at once. Places are distinct numbers, which deltas store better than a dictionary.
+CHUNKS = {"parquet.block.row.count.limit": "1", "parquet.writer.version": "v2", "parquet.enable.dictionary#at.list.element": "false"}
 
 LETTERS = re.compile(r"[^\W\d_]+")
 END = 0x1FFFFF
@@ -257,8 +260,8 @@ def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     and an expression is shuffled alone.
     """
     scratch = Scratch(docs.sparkSession)
-    chunks = scratch.write("chunks", text_chunks(docs, classes))
-    parts = scratch.write("words", word_chunks(chunks))
+    chunks = scratch.write("chunks", text_chunks(docs, classes), **CHUNKS)
+    parts = scratch.write("words", word_chunks(chunks), **CHUNKS)
     # Grams are made again rather than written: they are many times as large as the expressions.
     slopes = scratch.write("steps", steps(gram_table(parts).drop("part")))
     bits = slot_bits(parts)
@@ -270,7 +273,7 @@ def mean_ratios(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
     wanted = scratch.write("found", answered(word_lists(chunks, bits), ratios, bits))
     scratch.drop("expressions")
     # The expressions themselves go before the last shuffle.
-    slim = scratch.write("texts", chunks.select("chunk", "doc_id", "sizes", "at", "n"))
+    slim = scratch.write("texts", chunks.select("chunk", "doc_id", "sizes", "at", "n"), **CHUNKS)
     scratch.drop("chunks")
     name = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)

@@ -144,6 +144,25 @@ def test_toxicity_reads_every_letter(spark):
     assert sum(toxic) >= 0.9 * len(toxic) and sum(other) <= 0.05 * len(other)
 
 
+def test_chunks_are_read_one_by_one(spark, monkeypatch):
+    """Chunks are rows of megabytes: neither what writes nor what reads them holds all those of a file."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from newsloom.llm import toxicity as T
+    from newsloom.llm.common import Scratch
+
+    paths = {}
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: paths.update(self.paths))
+    docs = spark.range(0, 2 * T.TEXTS + 1, 1, 1).selectExpr("id AS doc_id", "concat('word ', repeat('x', int(id % 50))) AS text")
+    assert T.mean_ratios(docs, {0: 0, 1: 1}).count() == 2 * T.TEXTS + 1
+    for name, rows in (("chunks", 3), ("words", 1), ("texts", 3)):
+        files = [pq.ParquetFile(p).metadata for p in Path(paths[name].removeprefix("file:")).glob("*.parquet")]
+        groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+        assert sum(groups) == rows and max(groups) == 1
+
+
 def test_grams_do_not_collide():
     from newsloom.llm.toxicity import grams
 
