@@ -86,11 +86,12 @@ def _word_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
 
 
-def main_text(html: Column, strict: bool = False) -> Column:
+def main_blocks(html: Column, strict: bool = False) -> Column:
     """Article text by shallow text features: keep blocks that are long and not mostly links.
 
     Code and furniture go first, then the page is cut at block-level tags. A block stays when it
     has at least ``MIN_BLOCK_WORDS`` words and less than ``MAX_LINK_DENSITY`` of them are link text.
+    Blocks have their position on the page (``pos``), their ``text`` and that of their ``links``.
     """
     body = _without_comments(html)
     for tags in (CODE, FURNITURE):
@@ -98,14 +99,19 @@ def main_text(html: Column, strict: bool = False) -> Column:
     blocks = F.split(body, f"(?i)</?(?:{BLOCK_TAGS})\\b[^>]*>")
     measured = F.transform(
         blocks,
-        lambda b: F.struct(
+        lambda b, pos: F.struct(
+            pos.alias("pos"),
             visible_text(b, strict).alias("text"),
             visible_text(F.array_join(F.regexp_extract_all(b, F.lit(LINK), F.lit(1)), " "), strict).alias("links"),
         ),
     )
-    kept = F.filter(
+    return F.filter(
         measured,
         lambda m: (_word_count(m["text"]) >= MIN_BLOCK_WORDS)
         & (_word_count(m["links"]) < MAX_LINK_DENSITY * _word_count(m["text"])),
     )
-    return non_blank(F.array_join(F.transform(kept, lambda m: m["text"]), "\n"))
+
+
+def main_text(html: Column, strict: bool = False) -> Column:
+    """The texts of ``main_blocks``, a line each; null if there are none."""
+    return non_blank(F.array_join(main_blocks(html, strict).getField("text"), "\n"))
