@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from newsloom.llm.common import Scratch, text_batches, tidy_shuffles
+from newsloom.llm.common import Scratch, text_batches
+from newsloom.session import tidy_shuffles
 
 #: Letters of a gram: a letter and those before it. Every letter and the end mark of an expression is modelled.
 DEPTH = 8

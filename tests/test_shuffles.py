@@ -70,3 +70,28 @@ def test_tokens_of_lines_meet_in_parts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert len(rows) == 1_000 and not any(r.n_removed for r in rows)
     assert size < 1_700_000
+
+
+def test_texts_of_versions_are_shuffled_once(spark):
+    """Four equal sights of each article: their texts meet where they are read and take part in one shuffle."""
+    from pyspark.sql import functions as F
+
+    from newsloom.operators.store import article_versions
+
+    text = F.concat(*[F.sha2(F.concat_ws(" ", "id", F.lit(i)), 512) for i in range(40)])
+    rows = spark.range(0, 400, 1, 4).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("t").alias("title"), text.alias("content"))
+    seen = rows.withColumn("seen_at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), F.timestamp_seconds)))
+    sc, limit = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc.setJobGroup("versions", "versions")
+    try:
+        out = article_versions(seen).collect()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+        stages = {s for job in tracker.getJobIdsForGroup("versions") for s in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(s)}
+        size = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(out) == 400 and {len(r.content) for r in out} == {40 * 128}
+    assert 400 * 40 * 64 < size < 2 * 400 * 40 * 128
